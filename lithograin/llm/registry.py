@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import op6_sharding, op9_exact_dedup
+from . import op2_quality, op6_sharding, op9_exact_dedup
 
 QUERIES = {
+    "op2_quality_rules": op2_quality.op2_quality_rules,
     "op6_feistel_shards": op6_sharding.op6_feistel_shards,
     "op9_exact_dedup": op9_exact_dedup.op9_exact_dedup,
 }
 
 ORACLES = {
+    "op2_quality_rules": op2_quality.ORACLE_SQL,
     "op9_exact_dedup": op9_exact_dedup.ORACLE_SQL,
 }
