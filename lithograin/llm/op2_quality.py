@@ -92,7 +92,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def plan_cascade(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules ordered by rejections per second, both measured on a sample of about sample_rows rows."""
     n = docs.count()
-    sample = stash(measured(docs.select("text").sample(min(1.0, sample_rows / max(1, n)), seed=7).coalesce(1)), "quality-sample")
+    sample = stash(measured(docs.select("text").sample(min(1.0, sample_rows / max(1, n)), seed=7)), "quality-sample")
     text = F.coalesce("text", F.lit(""))
 
     def timed(condition: Column) -> tuple[float, float]:
