@@ -34,14 +34,19 @@ def permuted(x: Column, n: int, seed: int = SEED) -> Column:
         a += 1
     b = max(1, -(-n // a))
 
+    def step(i: int):
+        def left(s: Column) -> Column:
+            return F.struct(F.pmod(s["l"] + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), s["r"]), F.lit(a).cast("long")), F.lit(a).cast("long")).alias("l"), s["r"].alias("r"))
+
+        def right(s: Column) -> Column:
+            return F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), s["l"]), F.lit(b).cast("long")), F.lit(b).cast("long")).alias("r"))
+
+        return right if i % 2 else left
+
     def once(v: Column) -> Column:
         state = F.struct(F.floor(v / F.lit(b)).cast("long").alias("l"), F.pmod(v, F.lit(b).cast("long")).alias("r"))
         for i in range(ROUNDS):
-            if i % 2 == 0:
-                nxt = lambda s, i=i: F.struct(F.pmod(s["l"] + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), s["r"]), F.lit(a).cast("long")), F.lit(a).cast("long")).alias("l"), s["r"].alias("r"))
-            else:
-                nxt = lambda s, i=i: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), s["l"]), F.lit(b).cast("long")), F.lit(b).cast("long")).alias("r"))
-            state = F.transform(F.array(state), nxt)[0]
+            state = F.transform(F.array(state), step(i))[0]
         return F.transform(F.array(state), lambda s: s["l"] * F.lit(b).cast("long") + s["r"])[0]
 
     out = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(x), lambda v, _: F.when(v >= F.lit(n), once(v)).otherwise(v))
