@@ -32,3 +32,23 @@ def pii(text):
     spans = sorted((m.start(), i, m.end(), k) for i, (k, p) in enumerate(KINDS.items()) for m in p.finditer(text or "") if passes(k, m.group()))
     joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
     return {f"n_{k}": sum(x[3] == k for x in spans) for k in KINDS} | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest()}
+
+
+def suffix(docs, window=50):
+    """docs: list of (doc_id, text)."""
+    first = {}
+    for doc, text in sorted(docs, key=lambda x: x[0]):
+        data = (text or "").encode()
+        for i in range(len(data) - window + 1):
+            first.setdefault(data[i : i + window], doc)
+    out = {}
+    for doc, text in docs:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - window + 1):
+            if first[data[i : i + window]] < doc:
+                gone[i : i + window] = b"\1" * window
+        kept = bytes(c for c, g in zip(data, gone) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out[doc] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
