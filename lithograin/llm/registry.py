@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op2_quality, op5_pii, op6_sharding, op8_suffix_dedup, op9_exact_dedup
+from . import op2_quality, op4_bpe, op5_pii, op6_sharding, op8_suffix_dedup, op9_exact_dedup
 
 QUERIES = {
     "op2_quality_rules": op2_quality.op2_quality_rules,
+    "op4_bpe": op4_bpe.op4_bpe,
     "op5_pii": op5_pii.op5_pii,
     "op6_feistel_shards": op6_sharding.op6_feistel_shards,
     "op8_suffix_dedup": op8_suffix_dedup.op8_suffix_dedup,
