@@ -79,7 +79,7 @@ def pieces(texts: list[bytes], window: int):
         yield np.frombuffer(b"".join(part), np.uint8), np.array(ends), np.array(index), np.array(offset)
 
 
-def _post(window: int, blocks: int):
+def _post(window: int, blocks: int, everywhere: bool):
     """Rows (text, salt, bucket) -> packed keys (block, keys): 48 bits of key and 16 bits of bucket an entry."""
 
     def run(batches):
@@ -87,7 +87,7 @@ def _post(window: int, blocks: int):
             texts = batch.column(0).to_pylist()
             salts, bucket = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint64)
             seen = {}
-            keep = np.array([seen.setdefault((t, s), i) == i for i, (t, s) in enumerate(zip(texts, salts.tolist()))])
+            keep = np.array([everywhere or seen.setdefault((t, s), i) == i for i, (t, s) in enumerate(zip(texts, salts.tolist()))])
             found = []
             for buf, ends, index, _ in pieces([t if k else b"" for t, k in zip(texts, keep)], window):
                 owner, _, _, key = runs(buf, ends, salts[index] if salts.any() else None, window)
@@ -145,12 +145,17 @@ def _ragged(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - length), length)
 
 
-def _fragments(window: int, blocks: int):
-    """A bucket's texts and repeated keys -> one row per text that has candidates, and packed fragments per block."""
+def _fragments(window: int, blocks: int, everywhere: bool):
+    """A bucket's texts and repeated keys -> one row per text that has candidates, and packed fragments per block.
+
+    Equal fragments within the bucket are settled here: only the smallest doc_id's (and with everywhere the largest's)
+    go on to the owner, the others are marked at once (block -1), so a string in a third of all documents
+    reaches its owner once per bucket.
+    """
     schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("tid", pa.int64()), *((k, pa.binary()) for k in ("text", "docs", "tids", "starts", "lens", "data"))])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        zip_ = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=1).compress
         keys = np.unique(np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64))
         best: dict = {}
         for doc, tid, text, salt in zip(*(left.column(k).to_pylist() for k in ("doc_id", "tid", "text", "salt"))):
@@ -159,40 +164,72 @@ def _fragments(window: int, blocks: int):
                 best[(tid, text, salt)] = doc
         texts = [t for _, t, _ in best]
         docs, tids, salts = np.array(list(best.values()), np.int64), np.array([t for t, _, _ in best], np.int64), np.array([s for *_, s in best], np.int64)
-        parts_, hit = [], np.zeros(len(texts), bool)
-        for buf, ends, index, offset in pieces(texts, window) if len(keys) else ():
-            owner, first, length, key = runs(buf, ends, salts[index] if salts.any() else None, window)
+        index: dict[bytes, int] = {}
+        frags, which, where, starts, blocks_ = [], [], [], [], []
+        for buf, ends, piece, offset in pieces(texts, window) if len(keys) else ():
+            owner, first, length, key = runs(buf, ends, salts[piece] if salts.any() else None, window)
             at = np.searchsorted(keys, key >> np.uint64(16))
             ok = keys[np.minimum(at, len(keys) - 1)] == key >> np.uint64(16)
             owner, first, length, key = owner[ok], first[ok], length[ok], key[ok]
-            if not len(key):
-                continue
-            text = index[owner]
-            hit[text] = True
-            begin = np.concatenate([[0], ends[:-1]])[owner]
+            raw = buf.tobytes()
+            new = len(index)
+            number = np.fromiter((index.setdefault(raw[a : a + n + window - 1], len(index)) for a, n in zip(first.tolist(), length.tolist())), np.int64, len(first))
+            fresh = np.zeros(len(index) - new, np.int32)
             block = ((key >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype(np.int32)
-            order = np.argsort(block, kind="stable")
-            text, first, length, block, begin, off = text[order], first[order], length[order], block[order], begin[order], offset[owner][order]
-            data = buf[_ragged(first, length + window - 1)]
-            size = np.concatenate([[0], np.cumsum(length + window - 1)])
-            cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
-            for a, b in zip(cut, cut[1:]):
-                parts_.append((int(block[a]), docs[text[a:b]].tobytes(), tids[text[a:b]].tobytes(), (first - begin + off)[a:b].astype(np.int64).tobytes(), length[a:b].astype(np.int32).tobytes(), data[size[a] : size[b]].tobytes()))
+            fresh[number[number >= new] - new] = block[number >= new]
+            blocks_.append(fresh)
+            which.append(number)
+            where.append(piece[owner])
+            starts.append(first - np.concatenate([[0], ends[:-1]])[owner] + offset[owner])
+        frags = list(index)
+        del index
+        if not frags:
+            return pa.table({k: [] for k in schema.names}, schema=schema)
+        which, where, starts, blocks_ = np.concatenate(which), np.concatenate(where), np.concatenate(starts).astype(np.int64), np.concatenate(blocks_)
+        doc = docs[where]
+        low, high = np.full(len(frags), np.iinfo(np.int64).max), np.full(len(frags), np.iinfo(np.int64).min)
+        np.minimum.at(low, which, doc)
+        np.maximum.at(high, which, doc)
+        sent = (doc == low[which]) | (everywhere & (doc == high[which]))
         rows = {k: [] for k in schema.names}
-        for i in np.flatnonzero(hit):
-            for k, v in zip(schema.names, (None, int(docs[i]), int(tids[i]), texts[i], None, None, None, None, None)):
-                rows[k].append(v)
-        by_block: dict[int, list] = {}
-        for block, *rest in parts_:
-            by_block.setdefault(block, []).append(rest)
-        for block, rest in by_block.items():
-            for k, v in zip(schema.names, (block, None, None, None, *(zip_.compress(b"".join(x)) for x in zip(*rest)))):
+
+        def put(*values) -> None:
+            for k, v in zip(schema.names, values):
                 rows[k].append(v)
+
+        for i in np.unique(where):
+            put(None, int(docs[i]), int(tids[i]), texts[i], None, None, None, None, None)
+        size = np.array([len(f) for f in frags], np.int64) - window + 1
+
+        def arrays(at: np.ndarray) -> list[bytes]:
+            return [pack(x.tobytes()) for x in (doc[at], tids[where[at]], starts[at], size[which[at]].astype(np.int32))]
+
+        if not sent.all():
+            put(-1, None, None, None, *arrays(np.flatnonzero(~sent)), None)
+        go = np.flatnonzero(sent)
+        go = go[np.argsort(blocks_[which[go]], kind="stable")]
+        cut = np.append(np.flatnonzero(np.diff(blocks_[which[go]], prepend=-1)), len(go))
+        for a, b in zip(cut, cut[1:]):
+            put(int(blocks_[which[go[a]]]), None, None, None, *arrays(go[a:b]), pack(b"".join([frags[i] for i in which[go[a:b]].tolist()])))
         return pa.table(rows, schema=schema)
 
     return run
 
 
+def _settled(window: int):
+    """What buckets have marked already -> (doc_id, tid, lo, hi)."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, tids, starts = (np.frombuffer(unpack(row[k]), np.int64) for k in ("docs", "tids", "starts"))
+                lens = np.frombuffer(unpack(row["lens"]), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs, tids, starts, starts + lens + window - 1)], names=["doc_id", "tid", "lo", "hi"])
+
+    return run
+
+
 def two_stage(data: np.ndarray, first: np.ndarray, length: np.ndarray, depth: int) -> np.ndarray:
     """Positions of the suffixes starting at first[i] .. first[i] + length[i] - 1, sorted to depth bytes.
 
@@ -345,23 +382,26 @@ def _mark(window: int, everywhere: bool):
 def repeated(spark: SparkSession, texts: DataFrame, window: int, everywhere: bool = False, name: str = "suffix") -> tuple[DataFrame, DataFrame]:
     """texts(doc_id, tid, text binary, salt): per (doc_id, tid) with candidates its text, and its covered byte ranges.
 
-    Only the smallest doc_id of equal texts (same salt) takes part. Strings match within one salt only. Returns
+    Strings match within one salt only. Without everywhere, tid must be a hash of the text: of equal texts only the
+    smallest doc_id takes part. With everywhere, tid tells rows apart and every row takes part. Returns
     (candidates(doc_id, tid, text), spans(doc_id, tid, lo, hi)), both in the shared folder; spans may overlap.
     """
     if not GRAM <= window:
         raise ValueError("window")
     blocks, buckets = parts(spark), min(parts(spark), 1 << 16)
     rows = texts.select("doc_id", "tid", "text", "salt", F.pmod("tid", F.lit(buckets)).cast("int").alias("bucket"))
-    posted = rows.select("text", "salt", "bucket").mapInArrow(_post(window, blocks), "block int, keys binary")
+    posted = rows.select("text", "salt", "bucket").mapInArrow(_post(window, blocks, everywhere), "block int, keys binary")
     answers = stash(posted.repartitionById(blocks, "block").mapInArrow(_answer(buckets), "bucket int, keys binary"), f"{name}-keys")
     del posted
     release_(spark)
-    local = rows.mapInArrow(_first_of_batch, "doc_id long, tid long, text binary, salt long, bucket int")
-    found = stash(local.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_fragments(window, blocks), _FRAGMENTS), f"{name}-fragments")
+    local = rows if everywhere else rows.mapInArrow(_first_of_batch, "doc_id long, tid long, text binary, salt long, bucket int")
+    found = stash(local.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_fragments(window, blocks, everywhere), _FRAGMENTS), f"{name}-fragments")
     unstash(answers)
     release_(spark)
-    packed = found.filter("block IS NOT NULL").select("block", "docs", "tids", "starts", "lens", "data")
-    spans = stash(packed.repartitionById(blocks, "block").mapInArrow(_mark(window, everywhere), "doc_id long, tid long, lo long, hi long"), f"{name}-spans")
+    packed = found.filter("block >= 0").select("block", "docs", "tids", "starts", "lens", "data")
+    ranges = "doc_id long, tid long, lo long, hi long"
+    settled = found.filter("block < 0").select("docs", "tids", "starts", "lens").mapInArrow(_settled(window), ranges)
+    spans = stash(packed.repartitionById(blocks, "block").mapInArrow(_mark(window, everywhere), ranges).union(settled), f"{name}-spans")
     release_(spark)
     return found.filter("doc_id IS NOT NULL").select("doc_id", "tid", "text"), spans
 
