@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +49,18 @@ def unstash(*dfs: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files whose plans are no longer referenced."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(spark: SparkSession) -> int:
     """Blocks, owners and buckets follow spark.sql.shuffle.partitions, which the cluster sets to fit the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

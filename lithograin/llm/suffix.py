@@ -10,7 +10,8 @@
    Neighbours with a common prefix of WINDOW bytes form groups; every occurrence in a document other than the
    group's first is marked.
 
-Work and traffic follow the input; owners and buckets follow spark.sql.shuffle.partitions. Equal texts collapse per
+Work and traffic follow the input; owners and buckets follow spark.sql.shuffle.partitions (four to a partition where
+one task holds its whole share in memory). Equal texts collapse per
 batch before any shuffle, and a key that many documents share posts at most two entries per batch and bucket.
 """
 
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, parts, stash, unstash
+from .common import mix64, parts, release, stash, trim, unstash
 
 GRAM = 16
 CHUNK = 1 << 20
@@ -114,6 +115,7 @@ def _answer(buckets: int):
 
     def run(batches):
         data = [k for batch in batches for k in batch.column(1).to_pylist()]
+        trim()
         if not data:
             return
         entry = np.sort(np.frombuffer(b"".join(data), np.uint64))
@@ -155,6 +157,7 @@ def _fragments(window: int, blocks: int, everywhere: bool):
     schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("tid", pa.int64()), *((k, pa.binary()) for k in ("text", "docs", "tids", "starts", "lens", "data"))])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         pack = zstandard.ZstdCompressor(level=1).compress
         keys = np.unique(np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64))
         best: dict = {}
@@ -312,6 +315,7 @@ def _mark(window: int, everywhere: bool):
     """An owner's fragments -> (doc_id, tid, lo, hi): bytes covered by repeated strings. everywhere: the first document's too."""
 
     def run(batches):
+        trim()
         unzip = zstandard.ZstdDecompressor()
         got = [[unzip.decompress(x) for x in (row["docs"], row["tids"], row["starts"], row["lens"], row["data"])] for batch in batches for row in batch.to_pylist()]
         if not got:
@@ -388,31 +392,24 @@ def repeated(spark: SparkSession, texts: DataFrame, window: int, everywhere: boo
     """
     if not GRAM <= window:
         raise ValueError("window")
-    blocks, buckets = parts(spark), min(parts(spark), 1 << 16)
+    blocks, buckets, owners = parts(spark), min(4 * parts(spark), 1 << 16), 4 * parts(spark)
     rows = texts.select("doc_id", "tid", "text", "salt", F.pmod("tid", F.lit(buckets)).cast("int").alias("bucket"))
     posted = rows.select("text", "salt", "bucket").mapInArrow(_post(window, blocks, everywhere), "block int, keys binary")
     answers = stash(posted.repartitionById(blocks, "block").mapInArrow(_answer(buckets), "bucket int, keys binary"), f"{name}-keys")
     del posted
-    release_(spark)
+    release(spark)
     local = rows if everywhere else rows.mapInArrow(_first_of_batch, "doc_id long, tid long, text binary, salt long, bucket int")
-    found = stash(local.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_fragments(window, blocks, everywhere), _FRAGMENTS), f"{name}-fragments")
+    found = stash(local.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_fragments(window, owners, everywhere), _FRAGMENTS), f"{name}-fragments")
     unstash(answers)
-    release_(spark)
+    release(spark)
     packed = found.filter("block >= 0").select("block", "docs", "tids", "starts", "lens", "data")
     ranges = "doc_id long, tid long, lo long, hi long"
     settled = found.filter("block < 0").select("docs", "tids", "starts", "lens").mapInArrow(_settled(window), ranges)
-    spans = stash(packed.repartitionById(blocks, "block").mapInArrow(_mark(window, everywhere), ranges).union(settled), f"{name}-spans")
-    release_(spark)
+    spans = stash(packed.repartitionById(owners, "block").mapInArrow(_mark(window, everywhere), ranges).union(settled), f"{name}-spans")
+    release(spark)
     return found.filter("doc_id IS NOT NULL").select("doc_id", "tid", "text"), spans
 
 
-def release_(spark: SparkSession) -> None:
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _first_of_batch(batches):
     """Of equal texts in a batch only the smallest doc_id."""
     for batch in batches:
