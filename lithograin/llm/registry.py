@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op10_html, op2_quality, op4_bpe, op5_pii, op6_sharding, op8_suffix_dedup, op9_exact_dedup
+from . import op1_jaccard, op10_html, op2_quality, op4_bpe, op5_pii, op6_sharding, op8_suffix_dedup, op9_exact_dedup
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_jaccard.op1_ngram_jaccard,
     "op10_html": op10_html.op10_html,
     "op2_quality_rules": op2_quality.op2_quality_rules,
     "op4_bpe": op4_bpe.op4_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard": op1_jaccard.ORACLE_SQL,
     "op2_quality_rules": op2_quality.ORACLE_SQL,
     "op9_exact_dedup": op9_exact_dedup.ORACLE_SQL,
 }
