@@ -29,21 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back: lineage is cut and survives lost executors."""
+def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df into the shared folder (in folders by a column) and reads it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lithograin/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
-def unstash(*dfs: DataFrame) -> None:
-    """Deletes scratch tables that no later plan reads."""
+def unstash(*dfs: DataFrame, part: str = "") -> None:
+    """Deletes scratch tables (or one folder of theirs) that no later plan reads."""
     for df in dfs:
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{df._stash_path}/{part}".rstrip("/"))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -7,11 +7,18 @@ ceil(min / 8) of those, and that size-derived bound discards the rest.
 1. Batches post (shingle, set) entries, packed by shingle block; equal sets are one row (id: 64-bit digest of the
    set). Shingles of two sets within a batch are known to be shared at once and send one entry to their owner, so a
    shingle of a third of all documents reaches its owner once per batch. Owners keep shingles of two or more sets.
-2. Sets with too few shared shingles for any partner drop out.
-3. Every shingle names a leader among its sets; overlap counts accumulate per (set, leader), pairs below the bound go,
-   the rest is verified on whole sets. Large groups of near copies contract here with one pair per set and leader.
-4. For shingles that still span several components, sets outside the largest component there meet the sets of other
+2. Sets with too few shared shingles for any partner drop out. The whole sets of the others are counted again, and each
+   keeps its n - ceil(0.75 n) + ceil(n / 16) rarest shingles: two similar sets share at least ceil(min / 16) of those, while
+   passages that many otherwise different documents quote are common and seldom among them.
+3. In turns, every shingle that spans several components names a leader: of its sets (later of a random share of them) the one with the most common shingles, which is
+   the least edited of a group of near copies; overlap counts accumulate per
+   (set, leader), pairs below the bound go, the rest is verified on whole sets. Large groups of near copies contract
+   here with one pair per set and leader. Turns end when they link under a 200th of the sets (or after TURNS); they
+   only save work, what they leave is the next step's.
+4. For shingles that still span components, sets outside the largest component there meet the sets of other
    components; counts accumulate, bounds discard, whole sets verify. Pairs inside one component need no test.
+   Where a pair's rarest common shingle is hot (64 sets or more have it), all its overlap is hot, so the pair is only
+   formed if both sets have enough hot shingles for 0.75: edited copies of one stock text do not all meet.
 5. Links close to components by minimum-label propagation with pointer jumping.
 
 Defined results: null text and texts without words have an empty set, link with nothing and are their own component;
@@ -31,7 +38,11 @@ from .common import components, mix64, parts, release, stash, table, trim, unsta
 
 K = 5
 PERCENT = 75
-SLACK = 8
+SLACK = 16
+SCREEN = 8
+TURNS = 12
+STOP = 200
+HOT = 64
 BATCH_SETS = 1 << 13
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +74,7 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def prefix(n: int) -> int:
-    return min(n, n - -(-PERCENT * n // 100) + -(-n // SLACK))
+    return min(n, n - -(-PERCENT * n // 100) + -(-n // SCREEN))
 
 
 ROW = "kind int, block int, docs array<long>, sids binary, sizes binary, keys binary"
@@ -203,6 +214,34 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("common", common).filter(100 * F.col("common") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("common"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _spanning(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries of shingles that several components have, with the component that has most of the shingle's sets."""
+    named = lists.join(comp, "sid")
+    sizes = named.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram")
+    return named.join(sizes.agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("gram", F.col("m.comp").alias("major")), "gram")
+
+
+def _all_hot() -> Column:
+    """Could the overlap that 0.75 asks for consist of hot shingles alone?"""
+    return (100 + PERCENT) * F.least("sx", "sy") >= PERCENT * (F.col("nx") + F.col("ny"))
+
+
+def _counted(meetings: DataFrame) -> DataFrame:
+    """Overlap counts per pair, below the size-derived bound discarded; a pair that met on cold shingles only needs one."""
+    bounded = _all_hot()
+    swap = F.col("x") > F.col("y")
+    pairs = meetings.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("nx"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("ny"), bounded.alias("bounded"))
+    return pairs.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.count("*").alias("c"), F.min("bounded").alias("bounded")).filter(~F.col("bounded") | (F.col("c") >= _bound("nx", "ny"))).drop("c", "bounded")
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp(sid, comp) with the components that links join made one."""
+    of = lambda name: comp.select(F.col("sid").alias(name), F.col("comp").alias(f"c{name}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct()
+    moved = components(edges, "jaccard-cc").select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return stash(comp.join(moved, "comp", "left").select("sid", F.coalesce("to", "comp").alias("comp")), "jaccard-comp")
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, set_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -211,28 +250,46 @@ def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     release(spark)
     meta = owned.filter("gram IS NULL").select("doc_id", "sid", "n")
     entries = owned.filter("gram IS NOT NULL").groupBy("gram", "sid").agg(F.first("n").alias("n"))
-    alive = entries.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= F.ceil(F.col("n") / F.lit(SLACK))).select("sid")
-    lists = stash(entries.join(alive, "sid"), "jaccard-lists")
-    reps = meta.join(lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    alive = entries.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= F.ceil(F.col("n") / F.lit(SCREEN))).select("sid")
+    reps = meta.join(alive, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     sets = stash(docs.join(reps, "doc_id").select("doc_id", "text", "sid").mapInArrow(_sets, "sid long, grams array<long>").dropDuplicates(["sid"]), "jaccard-sets")
     release(spark)
-    # leaders
-    lead = lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), F.col("sid").alias("y"), F.col("n").alias("ny"))).alias("l"), F.count("*").alias("df")).filter("df > 1").select("gram", "l.y", "l.ny")
-    stars = lists.join(lead, "gram").filter(F.col("sid") != F.col("y")).filter(_fits("n", "ny")).groupBy(F.col("sid").alias("x"), "y").agg(F.first("n").alias("nx"), F.first("ny").alias("ny"), F.count("*").alias("c"))
-    tested = stash(stars.filter(F.col("c") >= _bound("nx", "ny")).drop("c"), "jaccard-stars")
-    links = stash(_verify(tested, sets), "jaccard-links")
-    comp = components(links, "jaccard-comp")
-    # shingles that span components
-    named = lists.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    share = named.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("gram", F.col("m.comp").alias("major"))
-    mixed = stash(named.join(share, "gram"), "jaccard-mixed")
-    minor = mixed.filter("comp <> major").select("gram", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    other = mixed.select("gram", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "major")
-    meet = minor.join(other, "gram").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))).filter(_fits("nx", "ny"))
-    counted = meet.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.count("*").alias("c")).filter(F.col("c") >= _bound("nx", "ny"))
-    known = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = stash(_verify(counted.join(known, ["x", "y"], "left_anti").drop("c"), sets), "jaccard-more")
-    comp = components(links.union(more), "jaccard-comp")
+    flat = sets.select("sid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    common = flat.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    per_set = flat.join(common, "gram").groupBy("sid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))  # a set's own shingles
+    room = F.col("n") - F.ceil(PERCENT * F.col("n") / F.lit(100)) + F.ceil(F.col("n") / F.lit(SLACK)) - (F.col("n") - F.size("g"))
+    # of the rarest shingles, a hot one (df >= HOT) only serves pairs whose overlap can be all hot
+    stock = F.size(F.filter("g", lambda x: x["df"] >= HOT))
+    lists = stash(
+        per_set.withColumn("room", room.cast("int")).filter("room > 0").withColumn("stock", stock)
+        .withColumn("w", F.floor(F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["df"]) * 1000 / F.col("n")).cast("long"))
+        .select("sid", "n", "w", "stock", F.explode(F.slice("g", F.lit(1), F.col("room"))).alias("g"))
+        .select("sid", "n", "w", "stock", "g.gram", (F.col("g.df") >= HOT).alias("hot")).filter(~F.col("hot") | (100 * F.col("stock") >= PERCENT * F.col("n"))),
+        "jaccard-lists",
+    )
+    release(spark)
+    comp = stash(lists.select("sid").distinct().withColumn("comp", F.col("sid")), "jaccard-comp")
+    enough, tested = comp.count() / STOP, None
+    for turn in range(TURNS):
+        mixed = stash(_spanning(lists, comp), "jaccard-mixed")
+        lead = mixed.groupBy("gram").agg(F.min(F.struct(F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 + 3 * turn)).alias("h"), (-F.col("w")).alias("w"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("stock").alias("sy"), F.col("comp").alias("cy"))).alias("l")).select("gram", "l.y", "l.ny", "l.sy", "l.cy")
+        member = mixed.select("gram", "hot", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("stock").alias("sx"), F.col("comp").alias("cx"))
+        stars = _counted(member.join(lead, "gram").filter((F.col("cx") != F.col("cy")) & _fits("nx", "ny") & (~F.col("hot") | _all_hot())))
+        fresh = stash(stars if tested is None else stars.join(tested, ["x", "y"], "left_anti"), "jaccard-stars")
+        tested = fresh.select("x", "y") if tested is None else tested.union(fresh.select("x", "y"))
+        links = stash(_verify(fresh, sets), "jaccard-links")
+        unstash(mixed)
+        found = links.count()
+        if found:
+            comp = _merged(comp, links)
+        if found <= enough:
+            break
+    mixed = stash(_spanning(lists, comp), "jaccard-mixed")
+    minor = mixed.filter("comp <> major").select("gram", "hot", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("stock").alias("sx"), F.col("comp").alias("cx"))
+    other = mixed.select("gram", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("stock").alias("sy"), F.col("comp").alias("cy"), "major")
+    meet = minor.join(other, "gram").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny") & (~F.col("hot") | _all_hot()))
+    last = stash(_verify(_counted(meet).join(tested, ["x", "y"], "left_anti"), sets), "jaccard-links")
+    comp = _merged(comp, last).withColumnRenamed("sid", "node")
     unstash(mixed, lists)
     # back to documents
     classes = meta.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))

@@ -10,7 +10,7 @@
    Neighbours with a common prefix of WINDOW bytes form groups; every occurrence in a document other than the
    group's first is marked.
 
-Work and traffic follow the input; owners and buckets follow spark.sql.shuffle.partitions (four to a partition where
+Work and traffic follow the input; owners and buckets follow spark.sql.shuffle.partitions (two to a partition where
 one task holds its whole share in memory). Equal texts collapse per
 batch before any shuffle, and a key that many documents share posts at most two entries per batch and bucket.
 """
@@ -392,22 +392,23 @@ def repeated(spark: SparkSession, texts: DataFrame, window: int, everywhere: boo
     """
     if not GRAM <= window:
         raise ValueError("window")
-    blocks, buckets, owners = parts(spark), min(4 * parts(spark), 1 << 16), 4 * parts(spark)
+    blocks, buckets, owners = parts(spark), min(2 * parts(spark), 1 << 16), 2 * parts(spark)
     rows = texts.select("doc_id", "tid", "text", "salt", F.pmod("tid", F.lit(buckets)).cast("int").alias("bucket"))
     posted = rows.select("text", "salt", "bucket").mapInArrow(_post(window, blocks, everywhere), "block int, keys binary")
     answers = stash(posted.repartitionById(blocks, "block").mapInArrow(_answer(buckets), "bucket int, keys binary"), f"{name}-keys")
     del posted
     release(spark)
     local = rows if everywhere else rows.mapInArrow(_first_of_batch, "doc_id long, tid long, text binary, salt long, bucket int")
-    found = stash(local.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_fragments(window, owners, everywhere), _FRAGMENTS), f"{name}-fragments")
+    found = stash(local.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_fragments(window, owners, everywhere), _FRAGMENTS).withColumn("part", F.when(F.col("block").isNull(), "texts").otherwise("fragments")), f"{name}-fragments", by="part")
     unstash(answers)
     release(spark)
-    packed = found.filter("block >= 0").select("block", "docs", "tids", "starts", "lens", "data")
+    packed = found.filter("part = 'fragments' AND block >= 0").select("block", "docs", "tids", "starts", "lens", "data")
     ranges = "doc_id long, tid long, lo long, hi long"
-    settled = found.filter("block < 0").select("docs", "tids", "starts", "lens").mapInArrow(_settled(window), ranges)
+    settled = found.filter("part = 'fragments' AND block < 0").select("docs", "tids", "starts", "lens").mapInArrow(_settled(window), ranges)
     spans = stash(packed.repartitionById(owners, "block").mapInArrow(_mark(window, everywhere), ranges).union(settled), f"{name}-spans")
+    unstash(found, part="part=fragments")
     release(spark)
-    return found.filter("doc_id IS NOT NULL").select("doc_id", "tid", "text"), spans
+    return found.filter("part = 'texts'").select("doc_id", "tid", "text"), spans
 
 
 def _first_of_batch(batches):
