@@ -120,6 +120,16 @@ def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Dat
     return measured(docs).withColumn("kept", verdict.otherwise(F.lit(True)))
 
 
+def keep_documents(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, with all their columns."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    verdict = F.when(F.col("base_failed"), F.lit(False))
+    for rule in plan_cascade(docs, rules):
+        verdict = verdict.when(rule.rejects(text, None), F.lit(False))
+    return measured(rows).filter(verdict.otherwise(F.lit(True))).select("_row.*")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
