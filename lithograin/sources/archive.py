@@ -72,7 +72,7 @@ def read_table(head: bytes, rest, size: int) -> tuple[int, bytes, int, list[Entr
     for i in range(count):
         row = raw[i * ENTRY : (i + 1) * ENTRY]
         chunk, off, n, comp_off, comp_n, how, level = struct.unpack("<QQQQQBi", row[:45])
-        if chunk != i or how != MODE or row[77:] != b"\0\0\0" or not 0 < n <= target or off != source or comp_off != payload or not comp_n:
+        if chunk != i or how != MODE or row[77:] != b"\0\0\0" or not 0 < n <= target or off != source or comp_off != payload or not comp_n or not 1 <= level <= 22:
             raise InvalidArchive("chunk_table", f"entry {i}")
         entries.append(Entry(chunk, off, n, comp_off, comp_n, level, row[45:77]))
         source, payload = source + n, payload + comp_n
