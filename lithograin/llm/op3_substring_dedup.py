@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stash, table
+from .common import release, stash, table, unstash
 
 SPAN = 3
 MIN_WORDS = 24
@@ -102,6 +102,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     firsts = own.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "first")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("h", "f")
     later = own.join(firsts, "h").filter(F.struct("doc_id", "tid", "first") != F.col("f"))
     per_text = stash(later.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("ranges")), "spans-later")
+    unstash(found)
+    del found, own, firsts, later
     release(spark)
     # a copy of an earlier text loses every unit that a span of the text covers
     joined = rows.join(members, "tid").join(per_text, "tid", "left")
