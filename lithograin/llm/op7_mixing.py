@@ -27,6 +27,8 @@ LABELLED = 8000
 DIM = 1 << 10
 STEPS = 40
 RIDGE = 1e-3
+SLOT_CACHE = 1 << 18
+_SLOTS: dict[str, int] = {}
 
 
 def featurise(text: str) -> np.ndarray:
@@ -34,16 +36,22 @@ def featurise(text: str) -> np.ndarray:
     out = np.zeros(DIM + 4, np.float32)
     words = text.lower().split()
     if words:
-        at = np.fromiter((xxhash.xxh3_64_intdigest(w) & (DIM - 1) for w in words), np.int64, len(words))
+        different = set(words)
+        if len(_SLOTS) > SLOT_CACHE:
+            _SLOTS.clear()
+        for w in different:
+            if w not in _SLOTS:
+                _SLOTS[w] = xxhash.xxh3_64_intdigest(w) & (DIM - 1)
+        at = np.fromiter(map(_SLOTS.__getitem__, words), np.int64, len(words))
         counts = np.bincount(at, minlength=DIM).astype(np.float32)
         out[:DIM] = np.log1p(counts)
         norm = np.sqrt((out[:DIM] ** 2).sum())
         out[:DIM] *= 4 / max(norm, 1e-6)
         n = max(1, len(text))
         out[DIM] = 1
-        out[DIM + 1] = 4 * sum(c in "#*$%&|<>!" for c in text) / n
-        out[DIM + 2] = 4 * sum(c.isupper() for c in text) / n
-        out[DIM + 3] = 2 * len(set(words)) / len(words)
+        out[DIM + 1] = 4 * sum(map(text.count, "#*$%&|<>!")) / n
+        out[DIM + 2] = 4 * sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / n
+        out[DIM + 3] = 2 * len(different) / len(words)
     return out
 
 
@@ -117,7 +125,7 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, factors=TARGET_
         def run(batches):
             total = np.zeros(2 * k + 1)
             for batch in batches:
-                p = np.array(batch.column(1).to_pylist()).reshape(-1, k)
+                p = batch.column(1).flatten().to_numpy().reshape(-1, k)
                 t = batch.column(0).to_numpy().astype(float)
                 total += np.concatenate([(t * rates(p, grads, step, most)) @ p, t @ p, [t.sum()]])
             yield pa.RecordBatch.from_arrays([pa.array(range(2 * k + 1), pa.int32()), pa.array(total)], names=["i", "v"])
@@ -140,7 +148,7 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, factors=TARGET_
 
     def rate(batches):
         for batch in batches:
-            p = np.array(batch.column(3).to_pylist()).reshape(-1, k)
+            p = batch.column(3).flatten().to_numpy().reshape(-1, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, fixed, step, most))], names=["doc_id", "row_key", "tokens", "posteriors", "rate"])
 
     return scored.mapInArrow(rate, schema + ", rate double")
