@@ -7,7 +7,7 @@ MIN_WORDS words or more (shorter runs grow until they have) is hashed; hashes me
 
 Defined results: null text counts as empty; texts with fewer than SPAN units or MIN_WORDS words lose nothing; a null doc_id counts as
 the smallest; rows that share doc_id and text are one document; no rows give no rows; further columns are ignored.
-Copies of a text collapse before spans are hashed: a copy loses all units that some span covers.
+Equal texts of a batch collapse before spans are hashed; a copy loses all units that some span covers.
 """
 
 from __future__ import annotations
@@ -98,12 +98,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     members = stash(rows.select("doc_id", "tid").groupBy("tid").agg(F.min("doc_id").alias("rep_id")), "spans-reps")
     found = stash(rows.select("doc_id", "tid", "text").mapInArrow(_hash, "h long, doc_id long, tid long, first int, n int"), "spans")
-    own = found.join(members.select("tid", F.col("rep_id").alias("doc_id")), ["tid", "doc_id"])
-    firsts = own.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "first")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("h", "f")
-    later = own.join(firsts, "h").filter(F.struct("doc_id", "tid", "first") != F.col("f"))
+    # Spans of copies are never first, so they may stay until only repeated hashes are left; the text's own are kept then.
+    firsts = stash(found.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "first")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("h", "f"), "spans-firsts")
+    release(spark)
+    later = found.join(firsts, "h").filter(F.struct("doc_id", "tid", "first") != F.col("f")).select("tid", "doc_id", "first", "n")
+    later = later.join(members.select("tid", F.col("rep_id").alias("doc_id")), ["tid", "doc_id"])
     per_text = stash(later.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("ranges")), "spans-later")
-    unstash(found)
-    del found, own, firsts, later
+    unstash(found, firsts)
+    del found, firsts, later
     release(spark)
     # a copy of an earlier text loses every unit that a span of the text covers
     joined = rows.join(members, "tid").join(per_text, "tid", "left")
