@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import fields
 from .operators import chunks, codec, encoding, measure, profile, text
 from .plans import policy
+from .sources import synthetic
 
 I, D, S, T = "int", "double", "string", "timestamp"
 #: Columns of the tables; arrays are not profiled.
@@ -487,3 +488,9 @@ def zstd_roundtrip_identity(spark, sf_dir):
 def columnar_roundtrip_identity(spark, sf_dir):
     texts = fields.rendered(table(spark, sf_dir, "orders"))
     return codec.columnar_roundtrip(texts, "o_orderstatus").groupBy("o_orderstatus").agg(F.sum("rows").alias("rows"), F.min("identical").alias("identical"))
+
+
+# --- generated tables: byte-exact by their published digests, not expressible in SQL ------------------------------------
+
+for _profile in synthetic.COLUMNS:
+    QUERIES[f"generate_{_profile}"] = lambda spark, sf_dir, name=_profile: synthetic.generate(spark, name)
