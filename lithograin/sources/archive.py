@@ -38,19 +38,26 @@ class Entry:
     sha256: bytes
 
 
+def head_bytes(total: int, digest: bytes, count: int, target: int) -> bytes:
+    head = MAGIC + struct.pack("<HB", VERSION, MODE)
+    return head + struct.pack("<Q", total) + digest + struct.pack("<QQ", count, target)
+
+
+def entry_bytes(e: Entry) -> bytes:
+    return struct.pack("<QQQQQBi", e.chunk_id, e.orig_offset, e.orig_size, e.comp_offset, e.comp_size, MODE, e.level) + e.sha256 + b"\0\0\0"
+
+
 def pack(data: bytes, target: int, level: int = 3) -> bytes:
     """A whole archive."""
     if not 1 <= target <= MAX_CHUNK:
         raise ValueError("chunk target")
     pieces = [data[a : a + target] for a in range(0, len(data), target)]
     frames = [compress(p, level) for p in pieces]
-    head = MAGIC + struct.pack("<HB", VERSION, MODE)[:3]
-    head = head.ljust(8, b"\0") + struct.pack("<Q", len(data)) + hashlib.sha256(data).digest() + struct.pack("<QQ", len(pieces), target)
     at, table = HEAD + ENTRY * len(pieces), []
     for i, (piece, frame) in enumerate(zip(pieces, frames)):
-        table.append(struct.pack("<QQQQQBi", i, i * target, len(piece), at, len(frame), MODE, level) + hashlib.sha256(piece).digest() + b"\0\0\0")
+        table.append(entry_bytes(Entry(i, i * target, len(piece), at, len(frame), level, hashlib.sha256(piece).digest())))
         at += len(frame)
-    return head + b"".join(table) + b"".join(frames)
+    return head_bytes(len(data), hashlib.sha256(data).digest(), len(pieces), target) + b"".join(table) + b"".join(frames)
 
 
 def read_table(head: bytes, rest, size: int) -> tuple[int, bytes, int, list[Entry]]:
