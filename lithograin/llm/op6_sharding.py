@@ -7,7 +7,8 @@ a = ceil(sqrt(n)), b = ceil(n/a); images outside 0..n-1 walk the cycle on. Fewer
 walk of WALK steps falls short with probability below n**(-WALK/2); a row that did would raise, not go wrong.
 
 Row numbers: equal (doc_id, size, crc) rows are first counted (so repeated rows never meet in one task), groups fall
-into hash ranges, ranges get offsets by a prefix sum of at most RANGES rows, groups are numbered inside each range.
+into hash ranges, ranges get offsets by a prefix sum of at most RANGES rows, groups are numbered inside each range and written out in
+blocks of at most BLOCK rows.
 
 Defined results: null text has size 16 and crc32 0; null doc_id sorts first; repeated rows get numbers of their own;
 no rows give no rows; further columns are ignored.
@@ -22,6 +23,7 @@ from .common import stash, table
 
 SHARDS = 40
 RANGES = 4096
+BLOCK = 4096
 ROUNDS = 6
 WALK = 64
 SEED = 20240229
@@ -67,7 +69,10 @@ def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed:
     base = F.broadcast(spark.createDataFrame(offsets, "range int, base long"))  # at most RANGES rows
     inside = Window.partitionBy("range").orderBy("doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = groups.withColumn("last", F.sum("n").over(inside)).join(base, "range").withColumn("first", F.col("base") + F.col("last") - F.col("n"))
-    each = numbered.select("doc_id", "size", "crc", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("row"))
+    # a group of many equal rows is cut into blocks, which other tasks write out
+    until = (F.col("first") + F.col("n")).alias("until")
+    blocks = numbered.select("doc_id", "size", "crc", until, F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("first")).repartition("first")
+    each = blocks.select("doc_id", "size", "crc", F.explode(F.sequence("first", F.least(F.col("first") + BLOCK, F.col("until")) - 1)).alias("row"))
     placed = each.withColumn("image", permuted(F.col("row"), total, seed))
     return placed.select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.pmod("image", F.lit(shards)).cast("int").alias("shard"),

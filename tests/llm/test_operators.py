@@ -139,6 +139,14 @@ def test_op6_is_a_permutation(spark):
         assert sorted(r.x for r in spark.range(n).select(op6_sharding.permuted(__import__("pyspark").sql.functions.col("id"), n).alias("x")).collect()) == list(range(n))
 
 
+def test_op6_many_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    same = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("text"))
+    out = op6_sharding.shard_rows(spark, same.union(spark.range(37).select(F.col("id"), F.lit("b")))).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("top")).collect()
+    assert sum(r.n for r in out) == 10_037 and {r.n for r in out} <= {250, 251} and all(r.n == r.slots == r.top + 1 for r in out)
+
+
 def test_op7(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
     good = spark.createDataFrame([(i, ("fine words here " if i % 2 == 0 else "junk stuff there ") * 20) for i in range(400)], "doc_id long, text string")
