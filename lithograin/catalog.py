@@ -456,13 +456,14 @@ def tune_recommendations(spark, sf_dir):
     return measure.recommendations(tune_grid(spark, sf_dir))
 
 
-OPTIONS = ("prefix_limited", "skip_roundtrip", "skip_hash", "quick", "estimate_only")
+OPTIONS = (*measure.PARTIAL_REASONS, "estimate_only")
+REASONS_SQL = "concat_ws('|', " + ", ".join(f"CASE WHEN {k} THEN '{v}' END" for k, v in measure.PARTIAL_REASONS.items()) + ")"
 
 
 @query(
     "benchmark_scope_status",
-    "SELECT *, CASE WHEN estimate_only THEN 'estimate' WHEN prefix_limited THEN 'sampled' WHEN partial_reasons = '' THEN 'full' ELSE 'partial' END AS scope, CASE WHEN skip_hash OR skip_roundtrip OR estimate_only THEN 'not_validated' WHEN prefix_limited THEN 'partially_validated' ELSE 'validated' END AS validation_status FROM (SELECT *, concat_ws(',', CASE WHEN skip_roundtrip THEN 'roundtrip_skipped' END, CASE WHEN skip_hash THEN 'hash_disabled' END, CASE WHEN quick THEN 'quick_mode' END) AS partial_reasons FROM "
-    + ", ".join(f"(VALUES (true), (false)) t{i}({o})" for i, o in enumerate(OPTIONS)) + ")",
+    "SELECT *, CASE WHEN estimate_only THEN 'estimate_only' WHEN prefix_limited THEN 'sampled' WHEN partial_reasons = '' THEN 'full' ELSE 'partial' END AS scope, CASE WHEN no_hash OR no_roundtrip OR estimate_only THEN 'not_validated' WHEN prefix_limited THEN 'partially_validated' ELSE 'validated' END AS validation_status FROM (SELECT *, "
+    + REASONS_SQL + " AS partial_reasons FROM " + ", ".join(f"(VALUES (true), (false)) t{i}({o})" for i, o in enumerate(OPTIONS)) + ")",
 )
 def benchmark_scope_status(spark, sf_dir):
     out = spark.range(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,19 @@ def adaptive_level(stats: DataFrame) -> DataFrame:
     return stats.withColumn("level", level)
 
 
+#: Digits, sign, separators and white space of numeric columns.
+_NUMERIC_LIKE = np.isin(np.arange(256), np.frombuffer(b"0123456789-+.,\r\n\t ", np.uint8))
+
+
+def level_of(data: bytes) -> int:
+    """adaptive_level for one chunk in hand."""
+    counts = np.bincount(np.frombuffer(data[:STATS_BYTES], np.uint8), minlength=256)
+    size, unique = max(1, int(counts.sum())), int((counts > 0).sum())
+    if unique <= 16 or counts.max() / size >= 0.20:
+        return 6
+    return 1 if unique > 180 or (counts[_NUMERIC_LIKE].sum() / size >= 0.85 and unique > 24) else 3
+
+
 def with_offsets(table: DataFrame, archive: str = "archive") -> DataFrame:
     """Payload offsets: an exclusive prefix sum of compressed sizes behind the head and the table."""
     order = Window.partitionBy(archive).orderBy("chunk_id")

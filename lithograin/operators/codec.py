@@ -32,6 +32,17 @@ def id_width(distinct: int) -> int:
     return 1 if distinct <= 0xFF else 2 if distinct <= 0xFFFF else 4
 
 
+def columnar_modes(rows: list[list[bytes]]) -> list[str]:
+    """Per column the mode that its sizes favour."""
+    modes = []
+    for column in zip(*rows):
+        distinct = set(column)
+        plain = 1 + sum(4 + len(v) for v in column)
+        coded = 6 + sum(4 + len(v) for v in distinct) + len(column) * id_width(len(distinct))
+        modes.append("dictionary" if coded < int(plain * 0.95) else "plain")
+    return modes
+
+
 def write_payload(rows: list[list[bytes]], modes: list[str], delimiter: bytes = b",", newline: bytes = b"\n", final: bool = True) -> bytes:
     """rows of physical fields, header included; modes: plain or dictionary per column."""
     if any(len(r) != len(modes) for r in rows):
@@ -122,12 +133,7 @@ def columnar_roundtrip(texts: DataFrame, group: str, stripe_rows: int = 4096) ->
             for g, rows in groups.items():
                 for a in range(0, len(rows), stripe_rows):
                     part = rows[a : a + stripe_rows]
-                    modes = []
-                    for column in zip(*part):
-                        distinct = set(column)
-                        plain = 1 + sum(4 + len(v) for v in column)
-                        coded = 6 + sum(4 + len(v) for v in distinct) + len(column) * id_width(len(distinct))
-                        modes.append("dictionary" if coded < int(plain * 0.95) else "plain")
+                    modes = columnar_modes(part)
                     payload = write_payload(part, modes)
                     text = b"\n".join(b",".join(r) for r in part) + b"\n"
                     out.append((g, len(part), len(payload), read_payload(payload, len(text)) == text))

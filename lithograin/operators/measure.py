@@ -70,12 +70,21 @@ def recommendations(configs: DataFrame) -> DataFrame:
     return one[0].unionByName(one[1]).unionByName(one[2])
 
 
+#: Why a benchmark is partial, in order.
+PARTIAL_REASONS = {
+    "no_baseline": "zstd baseline skipped",
+    "no_roundtrip": "round-trip decompression skipped; output identity not validated",
+    "no_hash": "SHA256 identity validation skipped",
+    "prefix_limited": "only the configured input prefix was benchmarked",
+}
+
+
 def scope_status(options: DataFrame) -> DataFrame:
-    """options(prefix_limited, skip_roundtrip, skip_hash, quick, estimate_only): scope, status and partial reasons."""
-    reasons = F.filter(F.array(F.when(F.col("skip_roundtrip"), "roundtrip_skipped"), F.when(F.col("skip_hash"), "hash_disabled"), F.when(F.col("quick"), "quick_mode")), lambda x: x.isNotNull())
-    scope = F.when(F.col("estimate_only"), "estimate").when(F.col("prefix_limited"), "sampled").when(F.size(reasons) == 0, "full").otherwise("partial")
-    status = F.when(F.col("skip_hash") | F.col("skip_roundtrip") | F.col("estimate_only"), "not_validated").when(F.col("prefix_limited"), "partially_validated").otherwise("validated")
-    return options.withColumn("scope", scope).withColumn("validation_status", status).withColumn("partial_reasons", F.array_join(reasons, ","))
+    """options(no_baseline, no_roundtrip, no_hash, prefix_limited, estimate_only): scope, status and partial reasons."""
+    reasons = F.filter(F.array(*(F.when(F.col(k), F.lit(v)) for k, v in PARTIAL_REASONS.items())), lambda x: x.isNotNull())
+    scope = F.when(F.col("estimate_only"), "estimate_only").when(F.col("prefix_limited"), "sampled").when(F.size(reasons) == 0, "full").otherwise("partial")
+    status = F.when(F.col("no_hash") | F.col("no_roundtrip") | F.col("estimate_only"), "not_validated").when(F.col("prefix_limited"), "partially_validated").otherwise("validated")
+    return options.withColumn("scope", scope).withColumn("validation_status", status).withColumn("partial_reasons", F.array_join(reasons, "|"))
 
 
 CHECKS = ("header", "metadata", "payload_structure", "chunk_table", "trailing_data", "decompression", "restored_length", "per_chunk_sha256", "global_sha256")

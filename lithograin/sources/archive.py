@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..errors import ArchiveParseError
 from ..operators.codec import compress, decompress
 
 #: Fixed values of the format.
@@ -21,7 +22,7 @@ MAGIC, VERSION, MODE, HEAD, ENTRY = b"DPACK", 2, 1, 64, 80
 MAX_CHUNKS, MAX_CHUNK = 1_000_000, 4096 << 20
 
 
-class InvalidArchive(ValueError):
+class InvalidArchive(ArchiveParseError):
     def __init__(self, stage: str, what: str):
         super().__init__(f"{stage}: {what}")
         self.stage = stage
