@@ -103,12 +103,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     release(spark)
     later = found.join(firsts, "h").filter(F.struct("doc_id", "tid", "first") != F.col("f")).select("tid", "doc_id", "first", "n")
     later = later.join(members.select("tid", F.col("rep_id").alias("doc_id")), ["tid", "doc_id"])
-    per_text = stash(later.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("ranges")), "spans-later")
+    per_text = later.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+    # one table with a row per text, so that the join with all rows is the last one and a hot text's rows can be split
+    texts = stash(members.join(per_text, "tid", "left"), "spans-texts")
     unstash(found, firsts)
-    del found, firsts, later
+    del found, firsts, later, per_text
     release(spark)
     # a copy of an earlier text loses every unit that a span of the text covers
-    joined = rows.join(members, "tid").join(per_text, "tid", "left")
+    joined = rows.join(texts, "tid")
     every = F.when(F.col("doc_id") > F.col("rep_id"), F.array(F.struct(F.lit(0).alias("first"), F.lit(-1).alias("n")))).otherwise(F.col("ranges"))
     out = joined.select("doc_id", "tid", "text", every.alias("ranges"), "rep_id")
     return out.mapInArrow(_finish, "doc_id long, rep_id long, n_units long, n_removed long, removed array<int>, kept_text string").withColumn("doc_id", F.when(F.col("doc_id") > LEAST, F.col("doc_id")))
