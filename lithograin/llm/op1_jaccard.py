@@ -22,8 +22,8 @@ ceil(min / 8) of those, and that size-derived bound discards the rest.
 5. Links close to components by minimum-label propagation with pointer jumping.
 
 Defined results: null text and texts without words have an empty set, link with nothing and are their own component;
-a text of one to four words has one shingle; equal sets are linked; a null doc_id passes through and never names a
-component unless all doc_ids there are null; repeated rows get equal results; no rows give no rows.
+a text of one to four words has one shingle; equal sets are linked; a null doc_id passes through, is linked with equal sets and, where no other row has the set, with nothing else, and
+never names a component unless all doc_ids there are null; repeated rows get equal results; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -251,7 +251,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     meta = owned.filter("gram IS NULL").select("doc_id", "sid", "n")
     entries = owned.filter("gram IS NOT NULL").groupBy("gram", "sid").agg(F.first("n").alias("n"))
     alive = entries.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= F.ceil(F.col("n") / F.lit(SCREEN))).select("sid")
-    reps = meta.join(alive, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    # counted before the join, so that a set of very many documents sends one row a task
+    reps = meta.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(alive, "sid")
     sets = stash(docs.join(reps, "doc_id").select("doc_id", "text", "sid").mapInArrow(_sets, "sid long, grams array<long>").dropDuplicates(["sid"]), "jaccard-sets")
     release(spark)
     flat = sets.select("sid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
