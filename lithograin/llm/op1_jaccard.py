@@ -215,10 +215,16 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _spanning(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """Entries of shingles that several components have, with the component that has most of the shingle's sets."""
+    """Entries of shingles that several components have, with the component that has most of the shingle's sets.
+
+    What is known of a shingle is written first: a join of plain tables is one whose hot keys Spark can split.
+    """
     named = lists.join(comp, "sid")
-    sizes = named.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram")
-    return named.join(sizes.agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("gram", F.col("m.comp").alias("major")), "gram")
+    sizes = named.groupBy("gram", "comp").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"))
+    major = stash(sizes.filter("comps > 1").select("gram", F.col("m.comp").alias("major")), "jaccard-major")
+    out = stash(named.join(major, "gram"), "jaccard-mixed")
+    unstash(major)
+    return out
 
 
 def _all_hot() -> Column:
@@ -272,20 +278,20 @@ def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     comp = stash(lists.select("sid").distinct().withColumn("comp", F.col("sid")), "jaccard-comp")
     enough, tested = comp.count() / STOP, None
     for turn in range(TURNS):
-        mixed = stash(_spanning(lists, comp), "jaccard-mixed")
-        lead = mixed.groupBy("gram").agg(F.min(F.struct(F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 + 3 * turn)).alias("h"), (-F.col("w")).alias("w"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("stock").alias("sy"), F.col("comp").alias("cy"))).alias("l")).select("gram", "l.y", "l.ny", "l.sy", "l.cy")
+        mixed = _spanning(lists, comp)
+        lead = stash(mixed.groupBy("gram").agg(F.min(F.struct(F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 + 3 * turn)).alias("h"), (-F.col("w")).alias("w"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("stock").alias("sy"), F.col("comp").alias("cy"))).alias("l")).select("gram", "l.y", "l.ny", "l.sy", "l.cy"), "jaccard-leaders")
         member = mixed.select("gram", "hot", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("stock").alias("sx"), F.col("comp").alias("cx"))
         stars = _counted(member.join(lead, "gram").filter((F.col("cx") != F.col("cy")) & _fits("nx", "ny") & (~F.col("hot") | _all_hot())))
         fresh = stash(stars if tested is None else stars.join(tested, ["x", "y"], "left_anti"), "jaccard-stars")
         tested = fresh.select("x", "y") if tested is None else tested.union(fresh.select("x", "y"))
         links = stash(_verify(fresh, sets), "jaccard-links")
-        unstash(mixed)
+        unstash(mixed, lead)
         found = links.count()
         if found:
             comp = _merged(comp, links)
         if found <= enough:
             break
-    mixed = stash(_spanning(lists, comp), "jaccard-mixed")
+    mixed = _spanning(lists, comp)
     minor = mixed.filter("comp <> major").select("gram", "hot", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("stock").alias("sx"), F.col("comp").alias("cx"))
     other = mixed.select("gram", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("stock").alias("sy"), F.col("comp").alias("cy"), "major")
     meet = minor.join(other, "gram").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny") & (~F.col("hot") | _all_hot()))
