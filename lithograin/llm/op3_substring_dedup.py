@@ -1,8 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences; a sentence of many words is cut further behind words that a hash picks, so that any
-passage of some fifty words holds several units wherever it stands. Every run of SPAN consecutive units that has
-MIN_WORDS words or more (shorter runs grow until they have) is hashed; hashes meet globally, the first span of a hash is the one with the smallest
+Texts are cut into units at sentence ends and line ends; running text is cut further behind the word with the least hash
+of every WINDOW consecutive words (a sentence end counts as least). Whether a word ends a unit so depends on WINDOW - 1
+words to each side, and no unit has more than WINDOW words. Every run of SPAN consecutive units that has MIN_WORDS words
+or more (shorter runs grow until they have) is hashed over its lower-case words; a run that would end at a line end is
+hashed also up to the next end that its words alone decide, since the same passage may be wrapped elsewhere. So any two
+places with the same 50 words in a row share a span, wherever the passage stands: it starts in words 7 to 13, has at most
+30 words and ends before the last 7. Hashes meet globally, the first span of a hash is the one with the smallest
 (doc_id, position), and units that any other span of it covers are removed. Spans repeated within one document count.
 
 Defined results: null text counts as empty; texts with fewer than SPAN units or MIN_WORDS words lose nothing; a null doc_id counts as
@@ -14,79 +18,134 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stash, table, unstash
+from .common import mix64, release, stash, table, unstash
 
 SPAN = 3
 MIN_WORDS = 24
-LONG = 12
+WINDOW = 7
 LEAST = -(2**63)
-_END = re.compile(r"(?<=[.!?…。！？])[\"')\]]*\s+|\n+")
+_END = re.compile(r"[.!?…。！？][\"')\]]*\Z")
 _WORD = re.compile(r"\S+")
+#: An odd factor, so that its powers have inverses modulo 2**64.
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+class _Words(dict):
+    """64-bit hashes of lower-case words; bit 0 tells whether the word ends a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word) & ~1 | bool(_END.search(word))
+        return h
+
+
+_HASHES = _Words()
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers, or more, of the factor and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(12, n.bit_length())
+        _POWERS[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, f, np.uint64)]) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))]
+    return _POWERS
+
+
+def _ends(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, and the numbers of words before each unit end: of those that the words decide, and of all."""
+    words, lines = [], []
+    for line in text.lower().split("\n"):
+        words += line.split()
+        lines.append(len(words))
+    n = len(words)
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    own = np.zeros(n + 1, bool)
+    own[1:] = h & np.uint64(1)
+    if n >= WINDOW:
+        order = np.where(own[:0:-1], np.uint64(0), h[::-1])  # from the end, so that the last of equal words is taken
+        least = np.lib.stride_tricks.sliding_window_view(order, WINDOW).argmin(1)
+        own[n - np.arange(n - WINDOW + 1) - least] = True
+    every = own.copy()
+    every[lines] = True
+    every[0] = False
+    return h, np.flatnonzero(own), np.flatnonzero(every)
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of sentences, long ones cut behind words whose hash is 0 modulo 8."""
-    out, at = [], 0
-    for m in [*_END.finditer(text), None]:
-        end = m.start() if m else len(text)
-        start, n, last = None, 0, at
-        for w in _WORD.finditer(text, at, end):
-            start = w.start() if start is None else start
-            n, last = n + 1, w.end()
-            if n >= LONG // 2 and xxhash.xxh3_64_intdigest(w.group()) % 8 == 0:
-                out.append((start, last, n))
-                start, n = None, 0
-        if n:
-            out.append((start, last, n))
-        at = m.end() if m else end
+    """(start, end, words) of the units."""
+    words, at, out = [m.span() for m in _WORD.finditer(text)], 0, []
+    for end in _ends(text)[2].tolist():
+        out.append((words[at][0], words[end - 1][1], end - at))
+        at = end
     return out
 
 
+def _spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, units and hash of every sliding span, as columns."""
+    h, own, every = _ends(text)
+    bounds = np.r_[0, every]
+    first = np.arange(len(every))
+    near = np.maximum(np.searchsorted(bounds, bounds[:-1] + MIN_WORDS), first + SPAN)
+    far = np.searchsorted(own, bounds[np.minimum(near, len(every))])
+    far = np.where(far < len(own), np.searchsorted(bounds, np.r_[own, 0][far]), near)
+    last = np.stack([near, far], 1)
+    keep = last <= len(every)
+    keep[:, 1] &= near != far
+    first, last = np.broadcast_to(first[:, None], last.shape)[keep], last[keep]
+    power, inverse = _powers(len(h) + 1)
+    total = np.r_[np.uint64(0), np.cumsum(h * power[: len(h)], dtype=np.uint64)]
+    lo, hi = bounds[first], bounds[last]
+    return first, last - first, mix64((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
+
+
 def spans(text: str):
     """(first unit, units, hash) of every sliding span."""
-    cut = units(text)
-    words = [" ".join(text[a:b].lower().split()) for a, b, _ in cut]
-    for i in range(len(cut) - SPAN + 1):
-        j, n = i + SPAN, sum(c[2] for c in cut[i : i + SPAN])
-        while n < MIN_WORDS and j < len(cut):
-            n += cut[j][2]
-            j += 1
-        if n >= MIN_WORDS:
-            yield i, j - i, xxhash.xxh3_64_intdigest(" ".join(words[i:j])) - (1 << 63)
+    yield from zip(*(c.tolist() for c in _spans(text)))
 
 
 def _hash(batches):
     """Every span of every different text in a batch; equal texts of a batch send the smallest doc_id's only."""
     for batch in batches:
-        out = ([], [], [], [], [])
         best: dict = {}
         for doc, tid, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if (tid, text) not in best or doc < best[(tid, text)]:
                 best[(tid, text)] = doc
+        out, size = [], 0
         for (tid, text), doc in best.items():
-            for first, n, h in spans(text):
-                for column, v in zip(out, (h, doc, tid, first, n)):
-                    column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())], names=["h", "doc_id", "tid", "first", "n"])
+            first, n, h = _spans(text)
+            if len(h):
+                out.append((h, np.full(len(h), doc), np.full(len(h), tid), first.astype(np.int32), n.astype(np.int32)))
+                size += len(h)
+            if size > 1 << 19:
+                yield _batch(out)
+                out, size = [], 0
+        if out:
+            yield _batch(out)
+
+
+def _batch(out) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "doc_id", "tid", "first", "n"])
 
 
 def _cut(batches):
     for batch in batches:
         out = {k: [] for k in ("doc_id", "tid", "n_units", "n_removed", "removed", "kept_text")}
         for doc, tid, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            cut, gone = units(text), set()
+            gone = set()
             for r in ranges or ():
                 gone.update(range(r["first"], r["first"] + r["n"]))
+            cut = units(text) if gone else _ends(text)[2]
             kept, at = [], 0
-            for i, (a, b, _) in enumerate(cut):
-                if i in gone:
-                    kept.append(text[at:a])
-                    at = b
+            for i in sorted(gone):
+                kept.append(text[at : cut[i][0]])
+                at = cut[i][1]
             kept.append(text[at:])
             for k, v in zip(out, (doc, tid, len(cut), len(gone), sorted(gone), "".join(kept))):
                 out[k].append(v)
@@ -98,16 +157,23 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     members = stash(rows.select("doc_id", "tid").groupBy("tid").agg(F.min("doc_id").alias("rep_id")), "spans-reps")
     found = stash(rows.select("doc_id", "tid", "text").mapInArrow(_hash, "h long, doc_id long, tid long, first int, n int"), "spans")
+    # Most hashes stand once; only those that don't need their places.
+    twice = stash(found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "spans-twice")
+    release(spark)
+    places = stash(found.join(twice, "h"), "spans-places")
+    unstash(found, twice)
+    del found, twice
+    release(spark)
     # Spans of copies are never first, so they may stay until only repeated hashes are left; the text's own are kept then.
-    firsts = stash(found.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "first")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("h", "f"), "spans-firsts")
+    firsts = stash(places.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "first")).alias("f")), "spans-firsts")
     release(spark)
-    later = found.join(firsts, "h").filter(F.struct("doc_id", "tid", "first") != F.col("f")).select("tid", "doc_id", "first", "n")
+    later = places.join(firsts, "h").filter(F.struct("doc_id", "tid", "first") != F.col("f")).select("tid", "doc_id", "first", "n")
     later = later.join(members.select("tid", F.col("rep_id").alias("doc_id")), ["tid", "doc_id"])
     per_text = later.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
     # one table with a row per text, so that the join with all rows is the last one and a hot text's rows can be split
     texts = stash(members.join(per_text, "tid", "left"), "spans-texts")
-    unstash(found, firsts)
-    del found, firsts, later, per_text
+    unstash(places, firsts)
+    del places, firsts, later, per_text
     release(spark)
     # a copy of an earlier text loses every unit that a span of the text covers
     joined = rows.join(texts, "tid")

@@ -102,6 +102,35 @@ def test_op3(spark, docs, none):
     assert op3_substring_dedup.substring_dedup(spark, none).count() == 0
 
 
+def test_op3_every_window_of_50_words(spark):
+    """No place that repeats 50 words of an earlier one goes without loss, whatever stands around it and however it is wrapped."""
+    own = random.Random(11)
+    running = lambda n: " ".join("".join(own.choice("abcdefgh") for _ in range(own.randint(2, 7))) for _ in range(n))
+    texts = []
+    for size in range(50, 76):
+        passage = running(size)
+        wrapped = re.sub(" ", lambda m: own.choice(" \n") if own.random() < 0.2 else " ", passage)
+        texts += [" ".join([running(own.randint(0, 30)), p, running(own.randint(0, 30))]) for p in (passage, passage.upper(), wrapped)]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op3_substring_dedup.substring_dedup(spark, rows_).collect()}
+    seen, places = set(), 0
+    for doc, text in enumerate(texts):
+        words = text.lower().split()
+        lost, at = [], 0
+        for i, (a, b, n) in enumerate(op3_substring_dedup.units(text)):
+            assert text[a:b].lower().split() == words[at : at + n]
+            lost += [i in set(got[doc].removed)] * n
+            at += n
+        assert at == len(words) and [w for w, x in zip(words, lost) if not x] == got[doc].kept_text.lower().split()
+        windows = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        for i, w in enumerate(windows):
+            if w in seen:
+                places += 1
+                assert any(lost[i : i + 50])
+        seen.update(windows)
+    assert places > 500
+
+
 def test_op4(spark, docs, none):
     import tiktoken
 
