@@ -322,6 +322,17 @@ def dialect_detected(spark, sf_dir):
     return text.detected(dialect_scores(spark, sf_dir), "doc_id")
 
 
+# Of all documents; their SQL-checked namesakes above leave out those with quotes, which SQL cannot lex.
+@query("dialect_scores_all")
+def dialect_scores_all(spark, sf_dir):
+    return text.dialect_scores_all(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("dialect_detected_all")
+def dialect_detected_all(spark, sf_dir):
+    return text.detected_all(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query("newline_style", "SELECT page_id, CASE WHEN contains(html, chr(13) || chr(10)) THEN 'crlf' ELSE 'lf' END AS style FROM pages")
 def newline_style(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.newline_style(F.col("html")).alias("style"))

@@ -1,10 +1,14 @@
-"""Lines, phrases, delimiters, newline styles and headers of plain and delimited text; built-in expressions only."""
+"""Lines, phrases, delimiters, newline styles and headers of plain and delimited text; built-in expressions, but for
+the dialect of text with quotes, which the lexer scores."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import delimited
+
 #: Candidate delimiters in order.
 DELIMITERS = (",", ";", "\t", "|")
 NAMES = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}
@@ -63,6 +67,60 @@ def dialect_scores(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
+_QUOTED = "delimiter string, consistent boolean, quoted_fields long, modal_records long, separators long, modal_width long"
+
+
+def _score_quoted(batches):
+    """One row per document and candidate with separators; a candidate that the text is malformed under gives none."""
+    for batch in batches:
+        at, out = [], []
+        for i, data in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            for d in delimited.CANDIDATES:
+                try:
+                    got = delimited.score(data, d)
+                except delimited.Malformed:
+                    continue
+                if got:
+                    at.append(i)
+                    out.append((NAMES[d.decode()], *got))
+        names = [part.split()[0] for part in _QUOTED.split(", ")]
+        columns = list(zip(*out)) or [()] * len(names)
+        kinds = [pa.string(), pa.bool_(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[batch.schema.names[0], *names])
+
+
+def dialect_scores_all(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """dialect_scores of every document, those with quotes among them, with the number of quoted fields."""
+    plain = dialect_scores(docs, key, text).withColumn("quoted_fields", F.lit(0).cast("long"))
+    quoted = docs.filter(F.contains(F.col(text), F.lit('"'))).select(key, text)
+    kind = docs.schema[key].dataType.simpleString()
+    scored = quoted.mapInArrow(_score_quoted, f"`{key}` {kind}, {_QUOTED}")
+    return plain.select(key, *(part.split()[0] for part in _QUOTED.split(", "))).unionByName(scored)
+
+
+def _detect_quoted(batches):
+    """The lexer's own verdict, one row per document; a malformed text's outcome is malformed, undetected ones give no row."""
+    for batch in batches:
+        at, out = [], []
+        for i, data in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            try:
+                outcome, d = delimited.detect(data)
+            except delimited.Malformed:
+                outcome, d = "malformed", None
+            if outcome != "undetected":
+                at.append(i)
+                out.append((outcome, d and NAMES[d.decode()]))
+        columns = list(zip(*out)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=[batch.schema.names[0], "outcome", "delimiter"])
+
+
+def detected_all(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """detected of every document, those with quotes among them."""
+    quoted = docs.filter(F.contains(F.col(text), F.lit('"'))).select(key, text)
+    kind = docs.schema[key].dataType.simpleString()
+    return detected(dialect_scores(docs, key, text), key).unionByName(quoted.mapInArrow(_detect_quoted, f"`{key}` {kind}, outcome string, delimiter string"))
+
+
 def detected(scores: DataFrame, key: str) -> DataFrame:
     """Detected with its delimiter, or ambiguous when several candidates share the best score."""
     score = F.struct("consistent", "modal_records", "separators", "modal_width")
