@@ -26,6 +26,7 @@ from .suffix import repeated
 WINDOW = 32
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?:svg|math)(?=[\s/])(?>\s++|/(?!>)|[^\s\"'>/=]++(?>\s*+=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?+)*+/>"  # self-closing
     r"|<(?P<raw>script|style|template|noscript|iframe|textarea|svg|math|title|object|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,

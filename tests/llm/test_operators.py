@@ -226,6 +226,13 @@ def test_op10(spark):
     assert op10_html.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_op10_self_closing():
+    inner = lambda page: [t for role, t in op10_html.blocks(page) if role == 2]
+    assert inner('<article><p>before <svg class="i"/> after</p><p>more text</p></article>') == ["before after", "more text"]
+    assert inner("<article><p>a <math/> b <svg a='/>' b = \"c\" d /> c</p></article>") == ["a b c"]
+    assert inner("<article><p>a <svg href=x/><text>drawn</text></svg> b <svg><path d='M0'/></svg> c</p></article>") == ["a b c"]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
