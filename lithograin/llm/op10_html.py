@@ -1,7 +1,8 @@
 """Main text of web pages by structure and a suffix array per host.
 
 A page splits into blocks. Blocks inside article or main elements are its text; menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are noise wherever they stand. What lies outside an
+notices, adverts, forms, scripts, styles and reader comments are noise wherever they stand; inside an article a class
+or id marks them only by a whole token that names such a container, never on a heading. What lies outside an
 article goes, host by host, through the suffix array of suffix.py: token streams of a host's pages, long strings
 repeated across distinct pages. A page without an article keeps the unique runs of its open blocks; covered
 boilerplate goes. Article text is never cut by repetition, since articles may quote each other.
@@ -43,16 +44,29 @@ MAIN_WORDS = frozenset(("post-body", "entry-content", "article-body", "main-cont
 NAMES = re.compile(r"\b(class|id|role|hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
+#: Inside an article only whole class tokens or ids that mark a container of other matter.
+MAIN_NOISE = frozenset(
+    "ad ads adbox advert adverts advertisement sponsored navbar breadcrumb breadcrumbs sidebar cookie-banner cookie-notice cookie-consent newsletter newsletter-signup"
+    " social-share share-buttons sharing-buttons sharedaddy related-posts related-articles comment-list comments comments-area disqus_thread pagination pager".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
 def _noise(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in NOISE_TAGS or tag == "header" and not in_main:
         return True
     for name, *values in NAMES.findall(attrs) if attrs else ():
-        value = "".join(values).lower()
-        if name.lower() == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
             return True
-        if name.lower() in ("class", "id") and tag not in MAIN_TAGS | {"body", "html"}:
-            if any(w in NOISE_WORDS for w in re.split(r"[\s_-]+", value)) and not any(w in MAIN_WORDS for w in value.split()):
+        if name not in ("class", "id") or tag in HEADINGS or tag in MAIN_TAGS | {"body", "html"}:
+            continue
+        if in_main:
+            # ids of sections are names of their subject
+            if not (name == "id" and tag == "section") and not MAIN_NOISE.isdisjoint(value.split()):
                 return True
+        elif any(w in NOISE_WORDS for w in re.split(r"[\s_-]+", value)) and not any(w in MAIN_WORDS for w in value.split()):
+            return True
     return False
 
 

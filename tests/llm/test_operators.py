@@ -233,6 +233,12 @@ def test_op10_self_closing():
     assert inner("<article><p>a <svg href=x/><text>drawn</text></svg> b <svg><path d='M0'/></svg> c</p></article>") == ["a b c"]
 
 
+def test_op10_words_inside_an_article():
+    page = """<article><header class="entry-header"><h1 class="header">Title</h1></header><section id="discussion"><h2 id="side-effects">Side</h2><p>one</p></section>
+    <div id="related-work">two</div><section id="comments">three</section><p class="notice">four</p><div class="x related-posts">no</div><div id="comments">no</div><p>five</p></article><div id="side-menu">no</div>"""
+    assert [t for role, t in op10_html.blocks(page) if role == 2] == ["Title", "Side", "one", "two", "three", "four", "five"]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
