@@ -4,8 +4,10 @@ A page splits into blocks. Blocks inside article or main elements are its text;
 notices, adverts, forms, scripts, styles and reader comments are noise wherever they stand; inside an article a class
 or id marks them only by a whole token that names such a container, never on a heading. What lies outside an
 article goes, host by host, through the suffix array of suffix.py: token streams of a host's pages, long strings
-repeated across distinct pages. A page without an article keeps the unique runs of its open blocks; covered
-boilerplate goes. Article text is never cut by repetition, since articles may quote each other.
+repeated across distinct pages. A string is boilerplate where it stands on two distinct pages and on SHARE of the host's
+distinct pages with text outside an article; a page without an article keeps its open blocks without boilerplate. Pages
+of a host without an article that have the same open text are one page, and all get its text. Article text is never cut
+by repetition, since articles may quote each other.
 
 Defined results: null or tagless html gives its plain text, empty html an empty text; unclosed elements end with
 their parent, unfinished tags at the end of a page are dropped; null page_id or url pass through; repeated rows get
@@ -17,14 +19,16 @@ from __future__ import annotations
 import html as html_
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import mix64, stash, table
 from .suffix import repeated
 
 WINDOW = 32
+SHARE = 0.5
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?:svg|math)(?=[\s/])(?>\s++|/(?!>)|[^\s\"'>/=]++(?>\s*+=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?+)*+/>"  # self-closing
@@ -157,14 +161,51 @@ def _parse(batches):
         )
 
 
+def _windows(text: bytes, ranges: list[dict], salt: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows within the ranges, and their hashes under the host."""
+    n = len(text) - window + 1
+    on = np.zeros(max(0, n), bool)
+    for r in ranges:
+        on[r["lo"] : max(r["lo"], r["hi"] - window + 1)] = True
+    at = np.flatnonzero(on)
+    data, h = np.frombuffer(text, np.uint8).astype(np.uint64), np.full(len(at), salt, np.int64).view(np.uint64)
+    for k in range(window):
+        h = mix64(h + data[at + k] + np.uint64(1)) if k % 4 == 3 else h * np.uint64(0x9E3779B97F4A7C15) + data[at + k]
+    return at, h.view(np.int64)
+
+
+def _count_windows(window: int):
+    """Distinct pages of each window, summed over the batch."""
+
+    def run(batches):
+        for batch in batches:
+            seen = [(np.unique(_windows(text, ranges, salt, window)[1]), pages) for salt, text, pages, ranges in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+            if seen:
+                h, at, n = np.unique(np.concatenate([x for x, _ in seen]), return_index=True, return_counts=True)
+                pages = np.repeat([p for _, p in seen], [len(x) for x, _ in seen])[at]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64)), pa.array(pages.astype(np.int64))], names=["h", "n", "pages"])
+
+    return run
+
+
+def _place_windows(window: int):
+    def run(batches):
+        for batch in batches:
+            for oid, salt, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                at, h = _windows(text, ranges, salt, window)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), oid, np.int64)), pa.array(h), pa.array(at.astype(np.int32))], names=["oid", "h", "at"])
+
+    return run
+
+
 def _unique_runs(batches):
-    """Open blocks without the bytes that other pages of the host have, cut at word edges."""
+    """Open blocks without the bytes of the host's boilerplate, cut at word edges."""
     for batch in batches:
-        out = {k: [] for k in ("page_id", "uid", "text")}
-        for page_id, uid, texts, outside, ranges in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        out = {k: [] for k in ("oid", "text")}
+        for oid, texts, outside, window, starts in zip(*(batch.column(i).to_pylist() for i in range(5))):
             gone = bytearray(len(outside))
-            for r in ranges or ():
-                gone[r["lo"] : r["hi"]] = b"\1" * (r["hi"] - r["lo"])
+            for at in starts or ():
+                gone[at : at + window] = b"\1" * window
             wanted, kept, at = list(texts), [], 0
             for block in outside.split(b"\n"):
                 if wanted and block.decode() == wanted[0]:
@@ -176,24 +217,34 @@ def _unique_runs(batches):
                     if words:
                         kept.append(" ".join(words))
                 at += len(block) + 1
-            for k, v in zip(out, (page_id, uid, " ".join(kept))):
+            for k, v in zip(out, (oid, " ".join(kept))):
                 out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("page_id", pa.int64()), ("uid", pa.int64()), ("text", pa.string())]))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("oid", pa.int64()), ("text", pa.string())]))
 
 
 def extract(spark: SparkSession, pages: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of pages: page_id, url, text."""
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64("page_id", "url", "html").alias("uid"), "url", F.xxhash64(F.lower(host)).alias("salt"), F.coalesce("html", F.lit("")).alias("html"))
-    parsed = stash(rows.mapInArrow(_parse, _PARSED), "pages")
+    # oid: pages without an article are the same by their open text, the others by all they have
+    oid = F.xxhash64("salt", "main", "texts", F.when(F.col("main"), F.col("outside")))
+    parsed = stash(rows.mapInArrow(_parse, _PARSED).withColumn("oid", oid), "pages")
+    held = parsed.filter("octet_length(outside) > 0")
     number = F.coalesce("page_id", F.lit(-(2**63)))
-    stream = parsed.filter(F.octet_length("outside") >= window).select(number.alias("doc_id"), F.col("uid").alias("tid"), F.col("outside").alias("text"), "salt")
+    reps = held.groupBy("oid").agg(F.min(F.struct(number.alias("number"), "uid"))["uid"].alias("uid"))
+    distinct = stash(held.select("oid", "uid", "salt", "main", F.when(~F.col("main"), F.col("texts")).alias("texts"), "outside").join(reps, ["oid", "uid"]).dropDuplicates(["oid", "uid"]), "pages-distinct")
+    stream = distinct.filter(F.octet_length("outside") >= window).select(F.col("oid").alias("doc_id"), F.col("oid").alias("tid"), F.col("outside").alias("text"), "salt")
     _, spans = repeated(spark, stream, window, everywhere=True, name="pages")
-    open_pages = parsed.filter("NOT main").select("page_id", "uid", "texts", "outside").dropDuplicates(["page_id", "uid"])
-    per_page = spans.groupBy(F.col("tid").alias("uid")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    unique = open_pages.join(per_page, "uid", "left").select("page_id", "uid", "texts", "outside", "ranges").mapInArrow(_unique_runs, "page_id long, uid long, text string")
+    per_page = spans.groupBy(F.col("tid").alias("oid")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    hosts = stash(distinct.groupBy("salt").agg(F.count("*").alias("pages"), F.min("main").alias("main")).filter("NOT main").select("salt", "pages"), "pages-hosts")
+    shared = stash(distinct.select("oid", "salt", "main", "outside").join(per_page, "oid").join(hosts, "salt"), "pages-shared")
+    counts = shared.select("salt", "outside", "pages", "ranges").mapInArrow(_count_windows(window), "h long, n long, pages long")
+    boilerplate = counts.groupBy("h").agg(F.sum("n").alias("n"), F.max("pages").alias("pages")).filter((F.col("n") > 1) & (F.col("n") >= F.col("pages") * SHARE)).select("h")
+    placed = shared.filter("NOT main").select("oid", "salt", "outside", "ranges").mapInArrow(_place_windows(window), "oid long, h long, at int")
+    per_open = placed.join(boilerplate, "h").groupBy("oid").agg(F.collect_list("at").alias("starts"))
+    unique = distinct.filter("NOT main").join(per_open, "oid", "left").select("oid", "texts", "outside", F.lit(window).alias("window"), "starts").mapInArrow(_unique_runs, "oid long, text string")
     with_article = parsed.filter("main").select("page_id", "url", F.array_join("texts", " ").alias("text"))
-    without = parsed.filter("NOT main").select("page_id", "url", "uid").join(unique.select("uid", "text"), "uid", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    without = parsed.filter("NOT main").select("page_id", "url", "oid").join(unique, "oid", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     return with_article.unionByName(without)
 
 

@@ -239,6 +239,19 @@ def test_op10_words_inside_an_article():
     assert [t for role, t in op10_html.blocks(page) if role == 2] == ["Title", "Side", "one", "two", "three", "four", "five"]
 
 
+def test_op10_copies_and_quotes(spark):
+    own = random.Random(5)
+    part = lambda: " ".join("".join(own.choice("abcdefgh") for _ in range(own.randint(3, 9))) for _ in range(15))
+    boiler, quoted, copy = part(), part(), part()
+    bodies = [part() for _ in range(8)]
+    texts = [f"<div>{boiler}</div><p>{b}</p>" + (f"<p>{quoted}</p>" if i in (2, 5) else "") for i, b in enumerate(bodies)]
+    texts += [f"<nav>menu {i}</nav><p>{copy}</p>" for i in range(20)]
+    pages = [(i, f"http://h/{i}", t) for i, t in enumerate(texts)] + [(100 + i, f"http://two/{i}", f"<p>{copy}</p>") for i in range(2)]
+    got = {r.page_id: r.text for r in op10_html.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: b + (f" {quoted}" if i in (2, 5) else "") for i, b in enumerate(bodies)} | {i: copy for i in [*range(8, 28), 100, 101]}
+    assert got == want
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
