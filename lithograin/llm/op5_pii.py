@@ -1,6 +1,7 @@
 """Personal data by weak supervision; DataFrame functions only.
 
-Base kinds (email, ip, card, phone) come from fixed expressions. Further candidates - identifier-like tokens - get
+Base kinds (email, ip, card, phone) come from fixed expressions. Further candidates - identifier-like tokens with a digit,
+and behind a term of the gazetteer or an assignment also tokens of 6 to 11 characters and groups set apart by spaces - get
 votes from regex, gazetteer and context labelers (1 private, 0 not, - abstains). Expectation-maximisation over the
 table of vote patterns (at most 3**LABELERS rows) estimates how reliable each labeler is; its posteriors train a
 logistic classifier over votes and shape features, counted by pattern as well, and spans that it scores at or above
@@ -95,8 +96,14 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 #: Gazetteer of terms that announce a credential or an identifier.
-GAZETTEER = r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|ssn|iban|passport|account|mot de passe|passwort|contraseña)\b"
+TERMS = r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|ssn|iban|passport|account|mot de passe|passwort|contraseña)\b"
+GAZETTEER = "(?i)" + TERMS
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{12,}+(?![A-Za-z0-9_-])"
+#: Short tokens, IBANs in groups and digits in groups, where such a term or an assignment stands close before.
+ANNOUNCED = (
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?:(?<=[=:][\x20\x09]{0,4}[\"']?)|(?<=(?i:" + TERMS + r")[^\n]{1,12}))"
+    r"(?:[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9_-]))?|[0-9]{2,4}(?:\x20[0-9]{2,4}){2,8}+|[A-Za-z0-9_-]{6,11}+)(?![A-Za-z0-9_-])"
+)
 
 
 def votes(x: Column) -> Column:
@@ -198,7 +205,10 @@ def find_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:
         by_kind = base_spans(t)
         tagged = F.concat(*(tag(by_kind[k], i) for i, k in enumerate(KINDS[:4])))
         found = F.when(t.rlike("[0-9]"), find(t, CANDIDATE)).otherwise(_none())
-        more = F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e"), F.concat(votes(x), shape(x)).alias("p")))
+        announced = F.when(t.rlike(f"[=:]|{GAZETTEER}") & t.rlike("[0-9]"), find(t, ANNOUNCED)).otherwise(_none())
+        # a second pass, so that the tokens of the first keep the text before them
+        both = let(found, lambda f: F.concat(f, F.filter(announced, lambda c: ~F.exists(f, lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"])))))
+        more = F.transform(both, lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e"), F.concat(votes(x), shape(x)).alias("p")))
         return F.struct(F.array_sort(tagged).alias("base"), more.alias("more"))
 
     rows = stash(clean_docs.select("doc_id", let(F.col("t"), labelled).alias("f")), "pii")

@@ -151,6 +151,21 @@ def test_op5(spark, docs, none):
     assert op5_pii.find_pii(spark, none).count() == 0
 
 
+def test_op5_announced_candidates(spark):
+    own = random.Random(3)
+    digits = lambda n: "".join(own.choice("0123456789") for _ in range(n))
+    texts, want = [], {}
+    for i in range(40):
+        ssn, word, iban = f"{digits(3)}-{digits(2)}-{digits(4)}", "pw" + digits(5), f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"
+        spaced = f"{digits(3)} {digits(2)} {digits(4)}"
+        for lead, m in (("my ssn: ", ssn), ("the password is '", word), ("pay to iban ", iban), ("SSN ", spaced)):
+            texts.append(f"{lead}{m}' and room {digits(6)} of 12 345 678 places, build v{digits(6)}")
+            want[len(texts) - 1] = f"secret:{len(lead)}:{len(lead) + len(m)}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in op5_pii.find_pii(spark, docs).select("doc_id", op5_pii._text(op5_pii.F.col("all")).alias("spans")).collect()}
+    assert got == want
+
+
 def test_op6(spark, docs, none):
     got = op6_sharding.shard_rows(spark, docs, shards=7).collect()
     slots = {}
