@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import sys
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -29,10 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+#: Scratch tables that still exist, with the session that wrote them.
+_LIVE: dict[str, SparkSession] = {}
+
+
 def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df into the shared folder (in folders by a column) and reads it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lithograin/{name}-{uuid.uuid4().hex}"
+    _LIVE[path] = spark
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -40,18 +48,46 @@ def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    context = spark.sparkContext._jsc
+    at.getFileSystem(context.hadoopConfiguration() if context else spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
 def unstash(*dfs: DataFrame, part: str = "") -> None:
     """Deletes scratch tables (or one folder of theirs) that no later plan reads."""
     for df in dfs:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{df._stash_path}/{part}".rstrip("/"))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f"{df._stash_path}/{part}".rstrip("/"))
+        if not part:
+            _LIVE.pop(df._stash_path, None)
+
+
+def scratch() -> frozenset[str]:
+    """The scratch tables there are now, for sweep."""
+    return frozenset(_LIVE)
+
+
+def sweep(before: frozenset[str], *keep: DataFrame) -> None:
+    """Deletes the scratch tables made since before, but for those that a returned plan still reads (keep)."""
+    kept = {df._stash_path for df in keep}
+    for path in [p for p in _LIVE if p not in before and p not in kept]:
+        _delete(_LIVE.pop(path), path)
+
+
+@atexit.register
+def _sweep_all() -> None:
+    """What returned plans read goes when the driver ends; a JVM that has ended already leaves it to the cluster's cleaning."""
+    with contextlib.suppress(Exception):
+        sweep(frozenset())
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files whose plans are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop shuffle files whose plans are no longer referenced. The listener bus may hold the last
+    query until it has told of its end, so a second round follows."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def trim() -> None:
