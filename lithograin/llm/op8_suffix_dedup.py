@@ -49,14 +49,15 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW) ->
     cut has doc_id, tid, n_removed, n_spans, spans, kept_text of those earliest copies that lose bytes."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), text.alias("text")).withColumn("tid", F.xxhash64("text"))
-    members = stash(rows.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-members")
+    members = stash(rows.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "suffix-members")
+    # written before it meets the rows, so that a hot text's rows can be split
+    reps = stash(members.groupBy("sha").agg(F.min("doc_id").alias("rep_id")), "suffix-reps")
     candidates, spans = repeated(spark, rows.filter(F.octet_length("text") >= window).withColumn("salt", F.lit(0).cast("long")), window)
     per_doc = spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     cut = candidates.join(per_doc, ["doc_id", "tid"]).select("doc_id", "tid", "text", "ranges").mapInArrow(
         _cut, "doc_id long, tid long, n_removed long, n_spans long, spans array<array<long>>, kept_text binary"
     )
-    reps = members.groupBy("sha").agg(F.min("doc_id").alias("rep_id"))
-    return members.join(reps, "sha"), cut
+    return members.join(reps, "sha").withColumn("sha", F.lower(F.hex("sha"))), cut
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
