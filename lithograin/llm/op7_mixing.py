@@ -1,32 +1,51 @@
 """Mixing by soft membership: document rates whose expected domain token totals meet target weights.
 
 A softmax classifier, fitted on a bounded sample of labelled rows, gives every document posteriors over domains (the
-label pairs quality and toxic). Nonnegative rates r minimise 0.5 * |A r / T - b|^2 + 0.5 * RIDGE * mean tokens-weighted
-(r - 1)^2, where row k of A holds posterior * tokens and b the target weights times the token total T, by projected
-gradient. Every step is one distributed pass that sums K numbers; a document's rate follows from the steps' residuals
-alone, so no state is kept between passes and a lost task is simply run again.
+label pairs quality and toxic), rounded to 1/GRID. With A r the expected token shares of the domains under rates r, G
+their Gram matrix over tokens and b the target shares, rates r >= 0 minimise
 
-Defined results: null text counts as empty (no tokens, rate 1); null doc_id passes through; repeated rows are rated alike; without
-labels or with one class only every document keeps rate 1; no rows give no rows; further columns are kept as they are.
+    (A r - b)' G^-1 (A r - b) / 2  +  RIDGE / 2 * mean over tokens of (r - 1)^2
+
+by accelerated projected gradient from r = 1; in this metric the step 1 / (1 + RIDGE) is safe whatever the shares. Every
+step is one distributed pass that sums 2 K + 1 numbers; documents of equal posteriors are rated alike, so passes run
+over the different posteriors with their tokens summed (as many as the grid has points, at most). A rate follows from the
+steps' gradients alone, so no state is kept between passes and a lost task is simply run again. Steps end when every
+domain's total is within TOLERANCE of its target, or when rates stand still: then the targets can't all be met with rates
+in 0..most and the rates are the least-squares compromise. max_gap tells how far the farthest domain is from its target.
+
+Targets are weights of the domains in the mix, of any sum, and a budget: a number of tokens, or without one as many as
+leave the domain `anchor` its own total.
+
+Defined results: null text counts as empty (no tokens, rated by its posteriors); null doc_id passes through; repeated
+rows are rated alike; of conflicting labels of one doc_id the least (quality, toxic) counts, of different texts under
+one labelled doc_id the least; without labels, with one class only or without tokens every document keeps rate 1; no rows
+give no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import stash, table, unstash
 
-#: Domains by (quality, toxic), and the target share of expected tokens of each, relative to the corpus's own share.
+#: Domains by (quality, toxic), and their target weights in the mix.
 DOMAINS = ((0, 0), (0, 1), (1, 0), (1, 1))
-TARGET_FACTORS = (0.5, 0.1, 1.0, 0.25)
+WEIGHTS = (0.1, 0.005, 0.855, 0.04)
+#: The domain whose own total sets the budget: clean documents of good quality.
+ANCHOR = 2
 LABELLED = 8000
-DIM = 1 << 10
-STEPS = 40
-RIDGE = 1e-3
+DIM = 1 << 11
+GRID = 100
+STEPS = 120
+TOLERANCE = 1e-3
+STILL = 1e-4
+RIDGE = 1e-4
 SLOT_CACHE = 1 << 18
 _SLOTS: dict[str, int] = {}
 
@@ -55,20 +74,32 @@ def featurise(text: str) -> np.ndarray:
     return out
 
 
+def associations(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
+    """How far each word slot's presence departs from independence of some class, in standard deviations (RMS 1 over slots)."""
+    seen, n = x[:, :DIM] > 0, len(x)
+    often, z = seen.sum(0), np.zeros(DIM)
+    for k in range(classes):
+        share = (y == k).mean()
+        z = np.maximum(z, np.abs(seen[y == k].sum(0) - often * share) / np.sqrt(often * share * (1 - share) * (1 - often / n) + 0.25))
+    return z / max(np.sqrt((z**2).mean()), 1e-9)
+
+
 def fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200, ridge: float = 1e-3) -> np.ndarray:
-    """Softmax regression by accelerated gradient steps; rows of x are features, y class numbers."""
-    w = v = np.zeros((x.shape[1], classes))
-    hot = np.eye(classes)[y]
-    lip = (x**2).sum(1).mean() / 2 + ridge
+    """Softmax regression by accelerated gradient steps; rows of x are features, y class numbers. Word slots count by their
+    association with the classes, so that a few telling words outweigh many common ones."""
+    scale = np.ones(x.shape[1])
+    scale[:DIM] = associations(x, y, classes)
+    scale[:DIM] *= 4 / max(np.sqrt(((x[:, :DIM] * scale[:DIM]) ** 2).sum(1).mean()), 1e-9)
+    x = (x * scale).astype(np.float32)
+    w = v = np.zeros((x.shape[1], classes), np.float32)
+    hot = np.eye(classes, dtype=np.float32)[y]
+    lip = float((x**2).sum(1).mean() / 2 + ridge)
     for t in range(steps):
-        z = x @ v
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        new = v - (x.T @ (p - hot) / len(x) + ridge * v) / lip
-        v = new + t / (t + 3) * (new - w)
+        p = posterior(x, v)
+        new = v - (x.T @ (p - hot) / np.float32(len(x)) + np.float32(ridge) * v) / np.float32(lip)
+        v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
-    return w
+    return w * scale[:, None]
 
 
 def posterior(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -78,80 +109,136 @@ def posterior(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def rates(p: np.ndarray, grads: np.ndarray, step: float, most: float = np.inf, ridge: float = RIDGE) -> np.ndarray:
-    """A document's rate, within 0..most, after the steps whose domain gradients are the rows of grads; p: posteriors."""
-    r = np.ones(len(p))
-    for g in grads:
-        r = np.clip(r - step * (p @ g + ridge * (r - 1)), 0.0, most)
-    return r
+def gridded(p: np.ndarray, grid: int = GRID) -> np.ndarray:
+    """Posteriors as whole numbers of 1/grid that sum to grid; the largest takes what rounding leaves."""
+    out = np.rint(p * grid).astype(np.int32)
+    out[np.arange(len(out)), out.argmax(1)] += grid - out.sum(1, dtype=np.int32)
+    return out
+
+
+def rates(p: np.ndarray, grads: np.ndarray, most: float = np.inf, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates within 0..most after the steps whose domain gradients are the rows of grads, the point of the next gradient,
+    and the last move; rows of p are posteriors."""
+    r = at = np.ones(len(p))
+    move = np.zeros(len(p))
+    for t, g in enumerate(grads):
+        new = np.clip(at - (p @ g + ridge * (at - 1)) / (1 + ridge), 0.0, most)
+        move, at, r = new - at, new + t / (t + 3) * (new - r), new
+    return r, at, move
 
 
 def train_domains(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, domains=DOMAINS) -> np.ndarray | None:
     """Weights fitted on at most labelled labelled rows, those with the smallest hash of doc_id."""
-    chosen = labels.select("doc_id", "quality", "toxic").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `labelled` rows
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    chosen = known.groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `labelled` rows
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("row")).select("row.text", "row.label.quality", "row.label.toxic")
 
     def run(batches):
         for batch in batches:
-            x = [featurise(t or "").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1), batch.column(2)], names=["x", "quality", "toxic"])
+            x = [featurise(t or "") for t in batch.column(0).to_pylist()]
+            at = [np.flatnonzero(v).astype(np.int32) for v in x]
+            yield pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i in at], pa.binary()), pa.array([v[i].tobytes() for v, i in zip(x, at)], pa.binary()), batch.column(1), batch.column(2)], names=["at", "x", "quality", "toxic"])
 
-    got = rows.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "x binary, quality int, toxic int").collect()
-    pairs = [(np.frombuffer(r.x, np.float32), domains.index((r.quality, r.toxic))) for r in got if (r.quality, r.toxic) in domains]
-    if len({y for _, y in pairs}) < 2:
+    got = one.mapInArrow(run, "at binary, x binary, quality int, toxic int").collect()
+    known_rows = sorted((domains.index((r.quality, r.toxic)), bytes(r.at), bytes(r.x)) for r in got if (r.quality, r.toxic) in domains)  # sums in one order
+    if len({y for y, *_ in known_rows}) < 2:
         return None
-    return fit(np.stack([x for x, _ in pairs]).astype(np.float64), np.array([y for _, y in pairs]), len(domains))
+    x = np.zeros((len(known_rows), DIM + 4), np.float32)
+    for row, (_, at, v) in zip(x, known_rows):
+        row[np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
+    return fit(x, np.array([y for y, *_ in known_rows]), len(domains))
 
 
-def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, factors=TARGET_FACTORS, domains=DOMAINS, steps: int = STEPS, most: float = np.inf) -> DataFrame:
-    """One row per row of docs: doc_id, row_key (hash of doc_id and text), tokens, posteriors, rate."""
-    k = len(domains)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    w = train_domains(spark, docs, labels, domains=domains)
-    schema = "doc_id long, row_key long, tokens long, posteriors array<double>"
-    shared = spark.sparkContext.broadcast(w)
+def score(spark: SparkSession, docs: DataFrame, weights: np.ndarray | None, k: int) -> DataFrame:
+    """doc_id, row_key (hash of doc_id and text), tokens and posteriors in 1/GRID, in the shared folder."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = spark.sparkContext.broadcast(weights)  # (DIM + 4) * K numbers
 
-    def score(batches):
+    def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            weights = shared.value
-            p = np.vstack([posterior(np.stack([featurise(t) for t in texts[a : a + 512]]).astype(np.float64), weights) for a in range(0, len(texts), 512)]) if weights is not None and texts else np.full((len(texts), k), 1 / k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(list(p.round(9)), pa.list_(pa.float64()))], names=["doc_id", "row_key", "tokens", "posteriors"])
+            w = shared.value
+            if w is None:
+                p = np.full((len(texts), k), 1 / k)
+            else:
+                p = np.vstack([np.zeros((0, k))] + [posterior(np.stack([featurise(t) for t in texts[a : a + 512]]).astype(np.float64), w) for a in range(0, len(texts), 512)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(list(gridded(p)), pa.list_(pa.int32()))], names=["doc_id", "row_key", "tokens", "posteriors"])
+
+    return stash(rows.mapInArrow(run, "doc_id long, row_key long, tokens long, posteriors array<int>"), "mixing")
+
+
+@dataclass
+class Fit:
+    """Gradients of all steps; target and reached token totals by domain; the largest relative gap between the two."""
 
-    scored = stash(rows.mapInArrow(score, schema), "mixing")
-    grads, step = np.zeros((0, k)), 1.0
+    grads: np.ndarray
+    target: np.ndarray
+    reached: np.ndarray
+    max_gap: float
+
+
+def fit_rates(scored: DataFrame, weights=WEIGHTS, budget: float | None = None, anchor: int = ANCHOR, most: float = np.inf, steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    k = len(weights)
+    cells = stash(scored.filter("tokens > 0").groupBy("posteriors").agg(F.sum("tokens").alias("tokens")), "mixing-cells")
+
+    def summed(size: int, one) -> np.ndarray:
+        """Sums over all cells of what one(tokens, posteriors) returns for a batch: size numbers."""
 
-    def totals(grads: np.ndarray) -> np.ndarray:
         def run(batches):
-            total = np.zeros(2 * k + 1)
+            total = np.zeros(size)
             for batch in batches:
-                p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                t = batch.column(0).to_numpy().astype(float)
-                total += np.concatenate([(t * rates(p, grads, step, most)) @ p, t @ p, [t.sum()]])
-            yield pa.RecordBatch.from_arrays([pa.array(range(2 * k + 1), pa.int32()), pa.array(total)], names=["i", "v"])
-
-        got = scored.select("tokens", "posteriors").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # 2 k + 1 rows
-        return np.array([r.v for r in sorted(got, key=lambda r: r.i)]) if got else np.zeros(2 * k + 1)
-
-    if w is not None:
-        for _ in range(steps):
-            sums = totals(grads)
-            if not sums[-1]:
-                break
-            gap = sums[:k] / sums[-1] - np.array(factors) * sums[k : 2 * k] / sums[-1]
-            # per-domain scale: the residual relative to the domain's own share
-            grad = gap / np.maximum(sums[k : 2 * k] / sums[-1], 1e-6)
-            grads = np.vstack([grads, grad[None]])
-            if np.abs(gap).max() < 1e-6:
-                break
-    fixed = grads
+                p = batch.column(0).flatten().to_numpy().reshape(-1, k) / GRID
+                total += one(batch.column(1).to_numpy().astype(float), p)
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], names=["i", "v"])
+
+        got = cells.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # size rows
+        return np.array([r.v for r in sorted(got, key=lambda r: r.i)]) if got else np.zeros(size)
+
+    gram = summed(k * k, lambda t, p: ((p.T * t) @ p).ravel()).reshape(k, k)
+    own = gram.sum(1)
+    total = own.sum()
+    share = np.array(weights, float) / sum(weights)
+    if budget is None:
+        budget = own[anchor] / share[anchor]
+    target = share * budget
+    grads, reached = np.zeros((0, k)), own
+    # what no document belongs to can't be mixed in
+    live = own > 0
+    inverse = np.linalg.pinv(gram / total, rcond=1e-9, hermitian=True) if total else gram
+    gap = lambda: float(np.max(np.abs(reached - target)[live] / np.maximum(target, 1e-6 * total)[live], initial=0.0)) if total else 0.0
+    for _ in range(steps if total else 0):
+
+        def sums(t, p, grads=grads):
+            r, at, move = rates(p, grads, most)
+            return np.concatenate([(t * r) @ p, (t * at) @ p, [(t * move**2).sum()]])
+
+        now = summed(2 * k + 1, sums)
+        reached = now[:k]
+        if gap() <= tolerance or len(grads) and (now[-1] / total) ** 0.5 < STILL:
+            break
+        grads = np.vstack([grads, (inverse @ ((now[k : 2 * k] - target) / total))[None]])
+    else:
+        if total:
+            reached = summed(k, lambda t, p: (t * rates(p, grads, most)[0]) @ p)
+    unstash(cells)
+    return Fit(grads, target, reached, gap())
+
+
+def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, weights=WEIGHTS, domains=DOMAINS, budget: float | None = None, anchor: int = ANCHOR, most: float = np.inf) -> DataFrame:
+    """One row per row of docs: doc_id, row_key (hash of doc_id and text), tokens, posteriors (in 1/GRID), rate, max_gap."""
+    k = len(domains)
+    w = train_domains(spark, docs, labels, domains=domains)
+    scored = score(spark, docs, w, k)
+    found = fit_rates(scored, weights, budget, anchor, most) if w is not None else Fit(np.zeros((0, k)), np.zeros(k), np.zeros(k), 0.0)
+    grads = found.grads
 
     def rate(batches):
         for batch in batches:
-            p = batch.column(3).flatten().to_numpy().reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, fixed, step, most))], names=["doc_id", "row_key", "tokens", "posteriors", "rate"])
+            p = batch.column(3).flatten().to_numpy().reshape(-1, k) / GRID
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, grads, most)[0])], names=["doc_id", "row_key", "tokens", "posteriors", "rate"])
 
-    return scored.mapInArrow(rate, schema + ", rate double")
+    return scored.mapInArrow(rate, "doc_id long, row_key long, tokens long, posteriors array<int>, rate double").withColumn("max_gap", F.lit(found.max_gap))
 
 
 def copies(rate: Column, key: Column, seed: int = 11) -> Column:
@@ -163,4 +250,4 @@ def copies(rate: Column, key: Column, seed: int = 11) -> Column:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     best = F.array_position("posteriors", F.array_max("posteriors")) - 1
-    return out.select("doc_id", "tokens", best.cast("int").alias("domain"), F.round("rate", 6).alias("rate"), copies(F.col("rate"), F.col("row_key")).alias("copies"))
+    return out.select("doc_id", "tokens", best.cast("int").alias("domain"), F.round("rate", 6).alias("rate"), copies(F.col("rate"), F.col("row_key")).alias("copies"), F.round("max_gap", 6).alias("max_gap"))
