@@ -66,3 +66,24 @@ def least_squares_rates(p, tokens, target, ridge, most, rounds=20000):
         r = np.clip(r - 0.5 * (p @ (metric @ ((w * r) @ p - want)) + ridge * (r - 1)), 0, most)
     gap = (w * r) @ p - want
     return r, gap @ metric @ gap / 2 + ridge * (w * (r - 1) ** 2).sum() / 2
+
+
+def open_text(pages, window, share):
+    """pages (page_id, url, <p> blocks only): the words that no boilerplate of their host covers, by counting every window."""
+    hosts = {}
+    for number, url, html in pages:
+        hosts.setdefault(url.split("/")[2], {})[number] = "\n".join(re.findall("<p>(.*?)</p>", html)).encode()
+    out = {}
+    for texts in hosts.values():
+        different = set(texts.values())
+        count = {}
+        for t in different:
+            for w in {t[i : i + window] for i in range(len(t) - window + 1)}:
+                count[w] = count.get(w, 0) + 1
+        for number, t in texts.items():
+            gone = bytearray(len(t))
+            for i in range(len(t) - window + 1):
+                if count[t[i : i + window]] >= max(2, share * len(different)):
+                    gone[i : i + window] = b"\1" * window
+            out[number] = " ".join(m.group().decode() for m in re.finditer(rb"[^ \n]+", t) if not all(gone[m.start() : m.end()]))
+    return out
