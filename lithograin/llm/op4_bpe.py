@@ -1,21 +1,21 @@
 """Byte-level BPE by a global distinct-word shuffle.
 
 Batches of documents split their texts into pre-tokens with positions and keep, per batch, the list of different
-words and the stream of word numbers in order of position (compressed). Only a batch's different words travel, packed
-by word block: a block's owner encodes each different word once for the whole corpus and sends every batch its ids
-back. The batch's stream and its words' ids meet by batch number and reassemble by position; decoding looks every id
-up in the token-byte table.
-
-The stream and the words come from two passes over the same scan, so a batch is known by partition and number and
-carries a checksum; a batch whose words do not come back in full raises instead of giving wrong ids.
+words and the stream of word numbers in order of position (compressed). One pass writes both to the shared folder, so
+the order in which the input comes, or comes again after a lost executor, doesn't matter. Only a batch's different words
+travel, packed by word block: a block's owner encodes each different word once for the whole corpus, by merging its
+bytes pair by pair in order of rank, and sends every batch its ids back. The batch's stream and its words' ids meet by
+batch number and reassemble by position; decoding looks every id up in the token-byte table.
 
 Defined results: null text counts as empty (no ids, no bytes); null doc_id passes through; repeated rows get equal
-results; no rows give no rows; whole texts are read, however long; further columns are ignored.
+results; no rows give no rows; whole texts are read, however long; of pairs with one rank the leftmost merges first;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import parts, release, stash, table, unstash
 
-BATCH_BYTES = 12 << 20
+BATCH_CHARS = 24 << 20
+#: Words beyond this many bytes merge by a heap, in n log n steps.
+LONG = 48
 _CACHE: dict = {}
 
 
@@ -37,30 +39,77 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _encoder(shared, pattern: str):
-    """The word encoder and the token-byte table, made once per Python worker."""
-    key = (id(shared), pattern)
-    if key not in _CACHE:
-        import tiktoken
-
-        ranks = shared.value
-        table_ = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token: neighbours whose joined bytes have the least rank merge first, the leftmost of equals."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) > LONG:
+        return _merge_long(word, ranks)
+    left = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(a + b, _NONE) for a, b in zip(left, left[1:])]
+    while pairs:
+        least = min(pairs)
+        if least == _NONE:
+            break
+        at = pairs.index(least)
+        left[at : at + 2] = [left[at] + left[at + 1]]
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = ranks.get(left[at] + left[at + 1], _NONE)
+        if at:
+            pairs[at - 1] = ranks.get(left[at - 1] + left[at], _NONE)
+    return [ranks[part] for part in left]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # ends and predecessors of the parts by start
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, at, end = heapq.heappop(heap)
+        if not alive[at] or after[at] >= n or after[after[at]] != end:
+            continue  # one of the pair has merged since
+        alive[after[at]] = False
+        after[at] = end
+        if end < n:
+            before[end] = at
+            if (r := ranks.get(word[at : after[end]])) is not None:
+                heapq.heappush(heap, (r, at, after[end]))
+        if (prev := before[at]) >= 0 and (r := ranks.get(word[prev:end])) is not None:
+            heapq.heappush(heap, (r, prev, end))
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : after[at]]])
+        at = after[at]
+    return out
+
+
+_NONE = 1 << 62
+
+
+def _token_bytes(shared) -> list[bytes]:
+    """The token-byte table, made once per Python worker."""
+    if id(shared) not in _CACHE:
+        table_ = [b""] * (max(shared.value.values(), default=-1) + 1)
+        for token, rank in shared.value.items():
             table_[rank] = token
         _CACHE.clear()
-        _CACHE[key] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe, table_)
-    return _CACHE[key]
+        _CACHE[id(shared)] = table_
+    return _CACHE[id(shared)]
 
 
 def _batched(batches):
-    """(number, doc ids, texts) of about BATCH_BYTES bytes each."""
+    """(number, doc ids, texts) of about BATCH_CHARS characters each."""
     docs, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 32
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             docs.append(doc)
             texts.append(text)
-            size += 2 * len(text)
-            if size >= 2 * BATCH_BYTES:
+            size += len(text)
+            if size >= BATCH_CHARS:
                 yield number, docs, texts
                 docs, texts, size, number = [], [], 0, number + 1
     if docs:
@@ -88,70 +137,65 @@ def _split(texts: list[str], pattern: str):
     return [words[i] for i in order.tolist()], rank[stream] if len(stream) else stream, np.array(sizes, np.uint32)
 
 
-def _checksum(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b"\0".join(words)) >> 1
-
-
-ROW = "batch long, block int, checksum long, docs array<long>, a binary, b binary, c binary"
-_ROW = pa.schema([("batch", pa.int64()), ("block", pa.int32()), ("checksum", pa.int64()), ("docs", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+ROW = "batch long, block int, docs array<long>, a binary, b binary, c binary"
+_ROW = pa.schema([("batch", pa.int64()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
 
 
-def _streams(pattern: str):
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for number, docs, texts in _batched(batches):
-            words, stream, sizes = _split(texts, pattern)
-            planes = stream.view(np.uint8).reshape(-1, 4).T.tobytes()  # like bytes together: the high ones are almost all 0
-            yield _rows([(number, -1, _checksum([w.encode() for w in words]), docs, pack(planes), pack(sizes.tobytes()), len(words).to_bytes(8, "little"))])
+def _planes(x: np.ndarray) -> bytes:
+    """Like bytes of uint32 values together: the high ones are almost all 0."""
+    return np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    return run
+
+def _unplanes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _words(pattern: str, blocks: int):
+def _pre_tokens(pattern: str, blocks: int):
+    """Documents -> a batch's stream (block -1) and, per block, its different words with their numbers (ascending, as differences)."""
+
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for number, _, texts in _batched(batches):
-            words = [w.encode() for w in _split(texts, pattern)[0]]
-            if not words:
-                continue
-            check = _checksum(words)
+        dense, pack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdCompressor(level=1).compress
+        for number, docs, texts in _batched(batches):
+            words, stream, sizes = _split(texts, pattern)
+            rows = [(number, -1, docs, dense(_planes(stream)), dense(_planes(sizes)), len(words).to_bytes(8, "little"))]
+            words = [w.encode() for w in words]
             block = np.fromiter((xxhash.xxh3_64_intdigest(w) % blocks for w in words), np.int64, len(words))
             order = np.argsort(block, kind="stable")
             cut = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
-            rows = []
             for x, y in zip(cut, cut[1:]):
                 at = order[x:y]
                 part = [words[i] for i in at.tolist()]
-                rows.append((number, int(block[at[0]]), check, None, pack(at.astype(np.uint32).tobytes()), pack(np.array([len(w) for w in part], np.uint32).tobytes()), pack(b"".join(part))))
+                size = np.array([len(w) for w in part], np.uint32)
+                rows.append((number, int(block[at[0]]), None, pack(_planes(np.diff(at, prepend=0))), pack(_planes(size)), dense(b"".join(part))))
             yield _rows(rows)
 
     return run
 
 
-def _encode(shared, pattern: str):
+def _encode(shared):
     """An owner's words -> each batch's ids; every different word is encoded once."""
 
     def run(batches):
-        core, _ = _encoder(shared, pattern)
+        ranks = shared.value
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
                 data, at, ids, lens = unpack(row["c"]), 0, [], []
-                for n in np.frombuffer(unpack(row["b"]), np.uint32).tolist():
+                for n in _unplanes(unpack(row["b"])).tolist():
                     word = data[at : at + n]
                     at += n
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = core.encode_single_piece(word)
+                        got = known[word] = merge(word, ranks)
                     ids += got
                     lens.append(len(got))
-                rows.append((row["batch"], row["block"], row["checksum"], None, row["a"], pack(np.array(lens, np.uint32).tobytes()), pack(np.array(ids, np.uint32).tobytes())))
+                rows.append((row["batch"], row["block"], None, row["a"], pack(_planes(np.array(lens, np.uint32))), pack(_planes(np.array(ids, np.uint32)))))
             yield _rows(rows)
 
     return run
@@ -165,37 +209,29 @@ def _ragged(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - length), length)
 
 
-def _reassemble(shared, pattern: str):
+def _reassemble(shared):
     """One batch: its stream and the ids of its words."""
 
     def run(got: pa.Table) -> pa.Table:
-        _, tokens = _encoder(shared, pattern)
+        tokens = _token_bytes(shared)
         unpack = zstandard.ZstdDecompressor().decompress
         rows = got.to_pylist()
-        streams = [r for r in rows if r["block"] < 0]
-        if len(streams) != 1:
-            raise ValueError("a batch's words came without its stream: the input is not read in the same order twice")
-        head = streams[0]
+        head = next(r for r in rows if r["block"] < 0)
         n_words = int.from_bytes(head["c"], "little")
         lens, at, flat, base = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), [], 0
-        seen = 0
         for r in rows:
             if r["block"] >= 0:
-                if r["checksum"] != head["checksum"]:
-                    raise ValueError("a batch's words do not fit its stream: the input is not read in the same order twice")
-                where, n, ids = (np.frombuffer(unpack(r[k]), np.uint32) for k in "abc")
+                where, n, ids = (_unplanes(unpack(r[k])).astype(np.int64) for k in "abc")
+                where = np.cumsum(where)
                 lens[where] = n
-                at[where] = base + np.cumsum(n, dtype=np.int64) - n
+                at[where] = base + np.cumsum(n) - n
                 base += len(ids)
-                seen += len(where)
                 flat.append(ids)
-        if seen != n_words:
-            raise ValueError("words of a batch are missing")
         flat_ids = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
         values = flat_ids.tolist()
         words = [b"".join([tokens[i] for i in values[a : a + n]]) for a, n in zip(at.tolist(), lens.tolist())]
-        stream = np.ascontiguousarray(np.frombuffer(unpack(head["a"]), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-        ends = np.concatenate([[0], np.cumsum(np.frombuffer(unpack(head["b"]), np.uint32), dtype=np.int64)])
+        stream = _unplanes(unpack(head["a"]))
+        ends = np.concatenate([[0], np.cumsum(_unplanes(unpack(head["b"])), dtype=np.int64)])
         out, step = [], 512
         for x in range(0, len(head["docs"]), step):  # slices, so that no array spans the whole batch
             cut = ends[x : x + step + 1]
@@ -216,8 +252,12 @@ def bpe(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern:
     blocks = parts(spark)
     shared = spark.sparkContext.broadcast(ranks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    encoded = rows.mapInArrow(_words(pattern, blocks), ROW).repartitionById(blocks, "block").mapInArrow(_encode(shared, pattern), ROW)
-    return rows.mapInArrow(_streams(pattern), ROW).union(encoded).groupBy("batch").applyInArrow(_reassemble(shared, pattern), "doc_id long, ids array<int>, decoded binary")
+    split = stash(rows.mapInArrow(_pre_tokens(pattern, blocks), ROW).withColumn("part", F.when(F.col("block") < 0, "streams").otherwise("words")), "bpe-split", by="part")
+    encoded = stash(split.filter("part = 'words'").drop("part").repartitionById(blocks, "block").mapInArrow(_encode(shared), ROW), "bpe-ids")
+    unstash(split, part="part=words")
+    release(spark)
+    both = split.filter("part = 'streams'").drop("part").union(encoded)
+    return both.groupBy("batch").applyInArrow(_reassemble(shared), "doc_id long, ids array<int>, decoded binary")
 
 
 def digest(encoded: DataFrame) -> DataFrame:
