@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix64, parts, release, stash, table, trim, unstash
+from .common import components, mix64, parts, release, scratch, stash, sweep, table, trim, unstash
 
 K = 5
 PERCENT = 75
@@ -250,6 +250,7 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, set_id."""
+    before = scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = parts(spark)
     owned = stash(docs.mapInArrow(_post(blocks), ROW).repartitionById(blocks, "block").mapInArrow(_own, OWNED), "jaccard-owned")
@@ -299,8 +300,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     comp = _merged(comp, last).withColumnRenamed("sid", "node")
     unstash(mixed, lists)
     # back to documents
-    classes = meta.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    names = stash(classes.join(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("sid", "component_id"), "jaccard-names")
+    classes = meta.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "sid"), "sid", "left")
+    classes = stash(classes.withColumn("comp", F.coalesce("comp", "sid")), "jaccard-classes")
+    # written before it meets its sets, so that a component of very many sets can be split
+    least = stash(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "jaccard-least")
+    names = stash(classes.join(least, "comp").select("sid", "component_id"), "jaccard-names")
+    sweep(before, owned, names)
     return meta.join(names, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sid").alias("set_id"))
 
 
