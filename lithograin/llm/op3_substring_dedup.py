@@ -1,15 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into units at sentence ends and line ends; running text is cut further behind the word with the least hash
-of every WINDOW consecutive words (a sentence end counts as least). Whether a word ends a unit so depends on WINDOW - 1
-words to each side, and no unit has more than WINDOW words. Every run of SPAN consecutive units that has MIN_WORDS words
-or more (shorter runs grow until they have) is hashed over its lower-case words; a run that would end at a line end is
-hashed also up to the next end that its words alone decide, since the same passage may be wrapped elsewhere. So any two
+Every run of SPAN consecutive sentences (which end at sentence marks and line ends) is hashed over its lower-case words;
+runs under FEW words are left to the longer ones around them, since three sentences of a word or two meet by chance in any
+large corpus. As passages may also be quoted without their sentence ends or wrapped otherwise, sentences are cut further
+into units, behind the word with the least hash of every WINDOW consecutive words (a sentence end counts as least). Whether
+a word ends a unit so depends on WINDOW - 1 words to each side, and no unit has more than WINDOW words. Every run of SPAN
+consecutive units that has MIN_WORDS words or more (shorter runs grow until they have) is hashed too; a run that would end
+at a line end is hashed also up to the next end that its words alone decide. So any two
 places with the same 50 words in a row share a span, wherever the passage stands: it starts in words 7 to 13, has at most
 30 words and ends before the last 7. Hashes meet globally, the first span of a hash is the one with the smallest
 (doc_id, position), and units that any other span of it covers are removed. Spans repeated within one document count.
 
-Defined results: null text counts as empty; texts with fewer than SPAN units or MIN_WORDS words lose nothing; a null doc_id counts as
+Defined results: null text counts as empty; texts under FEW words, or under MIN_WORDS with fewer than SPAN sentences, lose nothing; a null doc_id counts as
 the smallest; rows that share doc_id and text are one document; no rows give no rows; further columns are ignored.
 Equal texts of a batch collapse before spans are hashed; a copy loses all units that some span covers.
 """
@@ -28,6 +30,7 @@ from .common import mix64, release, stash, table, unstash
 
 SPAN = 3
 MIN_WORDS = 24
+FEW = 8
 WINDOW = 7
 LEAST = -(2**63)
 _END = re.compile(r"[.!?…。！？][\"')\]]*\Z")
@@ -58,8 +61,9 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def _ends(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, and the numbers of words before each unit end: of those that the words decide, and of all."""
+def _ends(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, and the numbers of words before each unit end: of those that the words decide, of all, and of the
+    ends of sentences and lines."""
     words, lines = [], []
     for line in text.lower().split("\n"):
         words += line.split()
@@ -68,14 +72,15 @@ def _ends(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     own = np.zeros(n + 1, bool)
     own[1:] = h & np.uint64(1)
+    sentence = own.copy()
     if n >= WINDOW:
         order = np.where(own[:0:-1], np.uint64(0), h[::-1])  # from the end, so that the last of equal words is taken
         least = np.lib.stride_tricks.sliding_window_view(order, WINDOW).argmin(1)
         own[n - np.arange(n - WINDOW + 1) - least] = True
     every = own.copy()
-    every[lines] = True
-    every[0] = False
-    return h, np.flatnonzero(own), np.flatnonzero(every)
+    every[lines] = sentence[lines] = True
+    every[0] = sentence[0] = False
+    return h, np.flatnonzero(own), np.flatnonzero(every), np.flatnonzero(sentence)
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
@@ -89,7 +94,7 @@ def units(text: str) -> list[tuple[int, int, int]]:
 
 def _spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First unit, units and hash of every sliding span, as columns."""
-    h, own, every = _ends(text)
+    h, own, every, sentence = _ends(text)
     bounds = np.r_[0, every]
     first = np.arange(len(every))
     near = np.maximum(np.searchsorted(bounds, bounds[:-1] + MIN_WORDS), first + SPAN)
@@ -97,8 +102,15 @@ def _spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     far = np.where(far < len(own), np.searchsorted(bounds, np.r_[own, 0][far]), near)
     last = np.stack([near, far], 1)
     keep = last <= len(every)
-    keep[:, 1] &= near != far
+    keep[:, 1] &= (near != far) & keep[:, 0]  # a run that cannot grow to MIN_WORDS is none
+    there = np.where(keep, last, -1)
     first, last = np.broadcast_to(first[:, None], last.shape)[keep], last[keep]
+    if len(sentence) >= SPAN:
+        start, end = np.r_[0, sentence][:-SPAN], sentence[SPAN - 1 :]
+        fit = end - start >= FEW
+        start, end = np.searchsorted(bounds, start[fit]), np.searchsorted(bounds, end[fit])
+        fresh = (there[start] != end[:, None]).all(1)
+        first, last = np.r_[first, start[fresh]], np.r_[last, end[fresh]]
     power, inverse = _powers(len(h) + 1)
     total = np.r_[np.uint64(0), np.cumsum(h * power[: len(h)], dtype=np.uint64)]
     lo, hi = bounds[first], bounds[last]
