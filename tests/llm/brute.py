@@ -87,3 +87,15 @@ def open_text(pages, window, share):
                     gone[i : i + window] = b"\1" * window
             out[number] = " ".join(m.group().decode() for m in re.finditer(rb"[^ \n]+", t) if not all(gone[m.start() : m.end()]))
     return out
+
+
+def sentence_runs(text, span):
+    """(first word, end word) of every run of span sentences; sentences end at line ends and behind words with a closing mark."""
+    ends, n = [], 0
+    for line in text.split("\n"):
+        words = line.split()
+        for i, w in enumerate(words):
+            n += 1
+            if i == len(words) - 1 or re.search("[.!?…。！？][\"')\\]]*$", w):
+                ends.append(n)
+    return [(a, b) for a, b in zip([0, *ends], ends[span - 1 :])]

@@ -87,21 +87,47 @@ def test_op2(spark, docs, none, duck):
 
 
 def test_op3(spark, docs, none):
+    """Against a plain search: a later run of three sentences loses every word, and no word goes that isn't in a repeated run of 8."""
     got = {r.doc_id: r for r in op3_substring_dedup.substring_dedup(spark, docs).collect()}
-    seen, want = {}, {}
-    for doc in sorted(TEXT):
-        for i, n, h in op3_substring_dedup.spans(TEXT[doc] or ""):
-            seen.setdefault(h, (doc, i))
+    assert len(got) == len(TEXT)
+    lost, runs_lost = {}, 0
     for doc, text in TEXT.items():
-        gone = set()
-        for i, n, h in op3_substring_dedup.spans(text or ""):
-            if seen[h] != (doc, i):
-                gone.update(range(i, i + n))
-        want[doc] = sorted(gone)
-    assert {d: list(r.removed) for d, r in got.items()} == want
+        words = (text or "").lower().split()
+        flags, cut = [], op3_substring_dedup.units(text or "")
+        for i, (a, b, n) in enumerate(cut):
+            assert text[a:b].lower().split() == words[len(flags) : len(flags) + n]
+            flags += [i in set(got[doc].removed)] * n
+        assert len(flags) == len(words) and len(got[doc].removed) == got[doc].n_removed and len(cut) == got[doc].n_units
+        assert [w for w, gone in zip(words, flags) if not gone] == got[doc].kept_text.lower().split()
+        lost[doc] = words, flags
+    seen, places = set(), {}
+    for doc in sorted(TEXT):
+        words, flags = lost[doc]
+        for start, end in brute.sentence_runs(TEXT[doc] or "", 3):
+            if end - start >= op3_substring_dedup.FEW:
+                run = tuple(words[start:end])
+                if run in seen:
+                    runs_lost += 1
+                    assert all(flags[start:end]), (doc, start, end)
+                seen.add(run)
+        for i in range(len(words) - 7):
+            places.setdefault(tuple(words[i : i + 8]), []).append((doc, i))
+    assert runs_lost > 50
+    repeated = {doc: set() for doc in TEXT}
+    for at in places.values():
+        for doc, i in at if len(at) > 1 else ():
+            repeated[doc].update(range(i, i + 8))
+    for doc, (words, flags) in lost.items():
+        assert {i for i, gone in enumerate(flags) if gone} <= repeated[doc]
     assert op3_substring_dedup.substring_dedup(spark, none).count() == 0
 
 
+def test_op3_short_sentences(spark):
+    texts = ["Alpha beta gamma. Delta epsilon zeta! Eta theta iota? Own words end here.", "Another start. alpha  beta gamma. delta\nepsilon zeta! eta theta iota?", "Alpha beta gamma. Delta epsilon zeta! Eta theta iota? ", "A b. C. D.", "A b. C. D."]
+    got = {r.doc_id: r.kept_text.split() for r in op3_substring_dedup.substring_dedup(spark, spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "Quite other. A b. C d e f.")], "doc_id long, text string")).collect()}
+    assert got[0] == texts[0].split() and got[2] == [] and got[3] == got[4] == texts[3].split() and got[None] == "Quite other. A b. C d e f.".split()
+
+
 def test_op3_every_window_of_50_words(spark):
     """No place that repeats 50 words of an earlier one goes without loss, whatever stands around it and however it is wrapped."""
     own = random.Random(11)
@@ -308,8 +334,45 @@ def test_op9_chains_colliding_keys(spark, docs, duck):
 
 
 def test_op9_directory():
-    depth, slots = op9_exact_dedup.split_directory({0: 50, 1: 3, 7: 9, 12: 1}, 10, 4)
-    assert len(slots) == 1 << depth and sorted(set(slots)) == list(range(max(slots) + 1)) and list(slots) == sorted(slots)
+    """Keys in clusters: no bucket over capacity, slots lead every key to its bucket, doubling only as deep as needed."""
+    own = random.Random(9)
+    for spread in (64, 40, 20):
+        keys = sorted({own.getrandbits(spread) << (64 - spread) | own.getrandbits(12) for _ in range(3000)} | {(5 << 60) + i for i in range(400)})
+        asked = []
+
+        def count(bits, directory, buckets):
+            asked.append(bits)
+            out = {}
+            for k in keys:
+                if int(directory.slots[k >> (64 - directory.depth) if directory.depth else 0]) in buckets:
+                    out[k >> (64 - bits)] = out.get(k >> (64 - bits), 0) + 1
+            return out
+
+        d = op9_exact_dedup.grow(count, len(keys), 100)
+        assert len(d.slots) == 1 << d.depth and max(d.local) == d.depth <= max(asked) and asked == sorted(asked)
+        held = {}
+        for k in keys:
+            held.setdefault(int(d.slots[k >> (64 - d.depth)]), []).append(k)
+        for b, ks in held.items():
+            assert {k >> (64 - d.local[b]) for k in ks} == {d.prefix[b]}
+            assert len(ks) <= 100 or d.local[b] == max(asked)  # those 400 keys agree in more bits than are spared
+        owner = d.owners(7)
+        by_key = [int(owner[d.slots[k >> (64 - d.depth)]]) for k in keys]
+        assert by_key == sorted(by_key) and set(by_key) <= set(range(7))
+
+
+def test_op9_index_answers_other_documents(spark, docs):
+    from pyspark.sql import functions as F
+
+    old, new = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    texts = op9_exact_dedup.keyed(old)
+    index = op9_exact_dedup.build(spark, texts, texts.select("h"), bucket_rows=16)
+    got = {r.doc_id: r.keep_id for r in index.probe(op9_exact_dedup.keyed(new).select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"))).collect()}
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    first = {}
+    for d in sorted(x for x in TEXT if x % 2 == 0):
+        first.setdefault(norm(TEXT[d]), d)
+    assert got == {d: first[norm(t)] for d, t in TEXT.items() if d % 2 and norm(t) in first} and got
 
 
 def test_op10(spark):
