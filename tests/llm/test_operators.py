@@ -86,6 +86,23 @@ def test_op2(spark, docs, none, duck):
     assert kept.columns == docs.columns and 0 < kept.count() < len(DATA)
 
 
+def test_op2_lazy_cascade_agrees_and_is_ordered(spark, docs):
+    from pyspark.sql import functions as F
+
+    kept = {r.doc_id for r in op2_quality.quality(docs).filter("kept").collect()}
+    assert {r.doc_id for r in op2_quality.keep_documents(docs).collect()} == kept
+    x = op2_quality.Rule
+    dear = x("dear", lambda c: F.aggregate(F.sequence(F.lit(1), F.lit(2000)), F.length(c.text), lambda a, i: F.pmod(a * 31 + i, F.lit(1009))) < 0)
+    never, half, broken = x("never", lambda c: F.length(c.text) < 0), x("half", lambda c: F.pmod(F.xxhash64(c.text), F.lit(2)) == 0), x("dear_half", lambda c: dear.rejects(c) | half.rejects(c))
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some text"), "id").alias("text"))
+    order = [r.name for r in op2_quality.plan_cascade(many, (dear, never, broken, half), op2_quality.of_text)]
+    assert order[0] == "half" and order.index("dear_half") < order.index("dear") and order[-1] == "dear"
+    assert op2_quality.ordered((dear, half), {"dear": (0.5, 2.0), "half": (0.5, 1.0)}) == [half, dear]
+    # what an earlier rule rejects never reaches a later one
+    bomb = x("bomb", lambda c: F.raise_error(F.lit("asked")).cast("boolean"))
+    assert many.filter(op2_quality.of_text(op2_quality.cascade([x("all", lambda c: c.n_words > 0), bomb]))).count() == 0
+
+
 def test_op3(spark, docs, none):
     """Against a plain search: a later run of three sentences loses every word, and no word goes that isn't in a repeated run of 8."""
     got = {r.doc_id: r for r in op3_substring_dedup.substring_dedup(spark, docs).collect()}
