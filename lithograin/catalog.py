@@ -28,7 +28,9 @@ TABLES = {
     "labels": {"doc_id": I, "quality": I, "toxic": I},
 }
 FACTS = "dataset, column_index, column_name, observed_values, empty_values, numeric_values, min_len, max_len, mean_len, total_bytes, cardinality_kind, cardinality_value"
-NUMERIC_SQL = "regexp_full_match(v, '(?i)" + fields.NUMERIC + "')"
+#: Written apart from functions/fields.py, so that an error there shows.
+NUMBER_SQL = "regexp_full_match({v}, '[-+]?((inf(inity)?|nan)|[0-9]+([.][0-9]*)?(e[-+]?[0-9]+)?|[.][0-9]+(e[-+]?[0-9]+)?)', 'i')"
+NUMERIC_SQL = NUMBER_SQL.format(v="v")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -67,13 +69,18 @@ FROM (SELECT i, name, v, count(*) AS c FROM ({cells_sql(name, source)}) GROUP BY
 
 
 def plan_sql(facts: str) -> str:
-    """The planner's steps over a facts query, one nesting a step as in the Spark plan."""
-    hints = "|".join(fields.NAME_HINTS)
-    out = f"SELECT *, regexp_matches(lower(column_name), '{hints}') OR (CASE WHEN observed_values > 0 THEN CAST(numeric_values AS FLOAT) / CAST(observed_values AS FLOAT) ELSE 0 END) >= CAST(0.8 AS FLOAT) AS numeric_or_date FROM ({facts})"
-    for name, step in policy.STEPS:
-        out = f"SELECT *, {step.replace('{k}', '1.0')} AS {name} FROM ({out})"
-    codes = " ".join(f"WHEN '{r}' THEN '{c}'" for r, c in policy.COLUMN_REASONS.items())
-    return f"SELECT *, CASE reason {codes} END AS reason_code FROM ({out})"
+    """The planner over a facts query for a whole table, written apart from plans/policy.py: from distinct counts and sizes
+    to one of five verdicts a column."""
+    return f"""SELECT q.*, r.strategy, r.reason, r.reason_code FROM (
+  SELECT *, CASE WHEN cardinality_kind <> 'exact' OR u >= 65536 THEN 1 WHEN repetition >= 0.6::FLOAT AND u < 256 THEN 2 WHEN repetition >= 0.2::FLOAT THEN 3 WHEN numeric_or_date THEN 4 ELSE 5 END AS verdict
+  FROM (SELECT *, dict + observed_values * (CASE WHEN u < 256 THEN 1 WHEN u < 65536 THEN 2 ELSE 4 END) AS encoded_bytes, total_bytes + observed_values AS raw_bytes, (dict + 1023) // 1024 AS dictionary_kib,
+      (CASE WHEN cardinality_kind = 'exact' THEN 1::FLOAT - u::FLOAT / observed_values::FLOAT ELSE 0 END)::FLOAT AS repetition
+    FROM (SELECT *, u * (ceil(mean_len::FLOAT)::BIGINT + 4) AS dict,
+        list_bool_or(list_transform(['date', 'time', 'ts', 'amount', 'price', 'qty', 'count', 'id'], lambda h: contains(lower(column_name), h))) OR numeric_values::FLOAT / observed_values::FLOAT >= 0.8::FLOAT AS numeric_or_date
+      FROM (SELECT *, CASE WHEN cardinality_kind = 'exact' THEN cardinality_value WHEN observed_values < 8193 THEN 8193 ELSE observed_values END AS u FROM ({facts}))))) q
+JOIN (VALUES (1, 'raw', 'Exceeded cardinality threshold', 'CARDINALITY_THRESHOLD_EXCEEDED'), (2, 'dictionary', 'Very low cardinality with high repetition', 'VERY_LOW_CARDINALITY_HIGH_REPETITION'),
+  (3, 'dictionary', 'Repeated values likely benefit from dictionary IDs', 'REPETITION_SUPPORTS_DICTIONARY'), (4, 'delta_candidate', 'Numeric/date heuristic matched', 'NUMERIC_OR_DATE_HEURISTIC_MATCHED'),
+  (5, 'plain', 'No strong dictionary signal', 'NO_STRONG_DICTIONARY_SIGNAL')) r(verdict, strategy, reason, reason_code) USING (verdict)"""
 
 
 PLAN = "dataset, column_index, column_name, u AS unique_values, repetition, encoded_bytes, raw_bytes, dictionary_kib, strategy, reason"
@@ -97,8 +104,10 @@ def all_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL_SQL = " UNION ALL ".join(f"({plan_sql(facts_sql(name))})" for name in TABLES)
-TABLE_SQL = "SELECT dataset, " + ", ".join(f"{v} AS {k}" for k, v in policy.TABLE_AGGREGATES.items()) + f" FROM ({ALL_SQL}) GROUP BY dataset"
-TABLE_SQL = f"SELECT *, {policy.CODE} AS code, CAST({policy.SAVINGS} AS DOUBLE) AS savings_percent FROM ({TABLE_SQL})"
+TABLE_SQL = f"""SELECT *, CASE WHEN low_repetition >= 0.7::DOUBLE * columns THEN 'INSUFFICIENT_REPETITION_MAJORITY' WHEN 20 * encoded >= 19 * raw THEN 'PROJECTED_DICTIONARY_SAVINGS_BELOW_THRESHOLD' ELSE 'HIGH_REPETITION_DETECTED' END AS code,
+  round(CASE WHEN encoded >= raw THEN 0 ELSE 100 - 100 * encoded / raw END::DOUBLE, 4) AS savings_percent
+FROM (SELECT dataset, count(*) AS columns, count(*) FILTER (repetition < 0.1::FLOAT) AS low_repetition, sum(encoded_bytes)::BIGINT AS encoded, sum(raw_bytes)::BIGINT AS raw,
+    round(coalesce(sum(dictionary_kib) FILTER (strategy = 'dictionary'), 0) / 1024.0::DOUBLE, 6) AS memory_mb, count(*) FILTER (strategy = 'dictionary') AS dictionary_columns FROM ({ALL_SQL}) GROUP BY dataset)"""
 
 
 def _profiles() -> None:
@@ -150,10 +159,14 @@ def numeric_or_date_flag(spark, sf_dir):
     return plan(spark, sf_dir, "orders").unionByName(plan(spark, sf_dir, "events")).select("dataset", "column_name", "numeric_values", "numeric_or_date")
 
 
-TABLE_COLUMNS = ["dataset", *policy.TABLE_AGGREGATES, "code", "savings_percent"]
+TABLE_COLUMNS = "dataset columns low_repetition encoded raw memory_mb dictionary_columns code savings_percent mode reason".split()
 
 
-@query("table_plan_all", f"SELECT {', '.join(TABLE_COLUMNS)} FROM ({TABLE_SQL})")
+@query(
+    "table_plan_all",
+    f"""SELECT *, CASE code WHEN 'HIGH_REPETITION_DETECTED' THEN 'csv_columnar_dictionary' ELSE 'raw_zstd' END AS mode, CASE code WHEN 'HIGH_REPETITION_DETECTED' THEN format('High repetition detected in {{}}/{{}} columns.', dictionary_columns, columns)
+  WHEN 'PROJECTED_DICTIONARY_SAVINGS_BELOW_THRESHOLD' THEN 'Projected dictionary savings < 5%; RawZstd is more predictable.' ELSE 'Insufficient repetition across majority of columns for dictionary gains.' END AS reason FROM ({TABLE_SQL})""",
+)
 def table_plan_all(spark, sf_dir):
     return policy.table_plan(all_plans(spark, sf_dir)).select(*TABLE_COLUMNS)
 
@@ -193,7 +206,7 @@ def advisor_recommendations(spark, sf_dir):
     return policy.advise(plans, policy.table_plan(plans))
 
 
-LEGACY_NUMERIC = "regexp_full_match(trim(v), '(?i)" + fields.NUMERIC + "')"
+LEGACY_NUMERIC = NUMBER_SQL.format(v="trim(v)")
 
 
 @query(
@@ -338,7 +351,7 @@ def newline_style(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.newline_style(F.col("html")).alias("style"))
 
 
-_NUM = "regexp_full_match(trim({c}), '(?i)" + fields.NUMERIC + "')"
+_NUM = NUMBER_SQL.format(v="trim({c})")
 
 
 @query(
@@ -483,7 +496,14 @@ def benchmark_scope_status(spark, sf_dir):
     return measure.scope_status(out.drop("id"))
 
 
-@query("validation_matrix", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{c}', '{measure.status_of(s, c)}')" for s in measure.STAGES for c in measure.CHECKS) + ") t(stage, check_name, status)")
+#: What each stage of failure leaves of the nine checks: passed, failed, . not completed, x not applicable, - not available.
+MATRIX_SQL = """SELECT stage, check_name, CASE substr(marks, i, 1) WHEN 'p' THEN 'passed' WHEN 'f' THEN 'failed' WHEN 'x' THEN 'not_applicable' WHEN '-' THEN 'not_available' ELSE 'not_completed' END AS status
+FROM (VALUES ('header', 'f........'), ('metadata', 'pf.......'), ('metadata_limit', 'p........'), ('chunk_table', 'pp.f.....'), ('trailing_data', 'pp.pf....'),
+  ('v1_payload', 'ppfx-f.--'), ('v1_length', 'pp.x-.f--'), ('v2_payload', 'pppppf...'), ('chunk_length', 'ppppp.f..'), ('chunk_hash', 'ppppp..f.'), ('restored_length', 'ppppppfp.'), ('global_hash', 'ppppppppf')) s(stage, marks),
+(VALUES (1, 'header'), (2, 'metadata'), (3, 'payload_structure'), (4, 'chunk_table'), (5, 'trailing_data'), (6, 'decompression'), (7, 'restored_length'), (8, 'per_chunk_sha256'), (9, 'global_sha256')) c(i, check_name)"""
+
+
+@query("validation_matrix", MATRIX_SQL)
 def validation_matrix(spark, sf_dir):
     return measure.validation_matrix(spark)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,25 +13,44 @@ STATS_BYTES = 65_536
 
 def layout(docs: DataFrame, key: str, text: str, chunk: int) -> DataFrame:
     """(key, chunk_id, offset, size, data) per chunk of each value's UTF-8 bytes; an empty value has none."""
-    rows = docs.select(key, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("bytes")).withColumn("total", F.octet_length("bytes"))
-    ids = rows.filter("total > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / chunk).cast("int"))).alias("chunk_id"))
-    return ids.select(
-        key, F.col("chunk_id").cast("long").alias("chunk_id"), (F.col("chunk_id") * F.lit(chunk)).cast("long").alias("offset"),
-        F.least(F.lit(chunk), F.col("total") - F.col("chunk_id") * chunk).cast("long").alias("size"), F.substring("bytes", F.col("chunk_id") * chunk + 1, F.lit(chunk)).alias("data"),
-    )
+    data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+
+    def pieces(b):
+        # cut inside the array, so that no chunk's row carries the whole value along
+        numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.octet_length(b) - 1) / chunk).cast("long"))
+        cut = F.transform(numbers, lambda i: F.struct(i.alias("chunk_id"), F.substring(b, (i * chunk + 1).cast("int"), F.lit(chunk)).alias("data")))
+        return F.when(F.octet_length(b) > 0, cut)
+
+    bound = F.transform(F.array(data), pieces)[0]  # encoded once
+    ids = docs.select(key, F.inline(bound))
+    return ids.select(key, "chunk_id", (F.col("chunk_id") * F.lit(chunk)).cast("long").alias("offset"), F.octet_length("data").cast("long").alias("size"), "data")
 
 
 def digests(chunks: DataFrame, key: str) -> DataFrame:
     return chunks.select(key, "chunk_id", "size", F.sha2("data", 256).alias("sha256"))
 
 
+_STATS = pa.schema([("size", pa.int64()), ("unique_bytes", pa.int64()), ("max_frequency", pa.int64()), ("numeric_like", pa.int64())])
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.bincount(np.frombuffer(data[:STATS_BYTES], np.uint8), minlength=256)
+
+
 def byte_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Over the first 64 KiB: size, different bytes, the largest byte count, numeric-like bytes; one (key, byte) aggregate."""
-    head = F.substring(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 1, STATS_BYTES)
-    bytes_ = docs.select(key, F.explode(F.regexp_extract_all(F.hex(head), F.lit("(..)"), 1)).alias("b"))
-    counted = bytes_.groupBy(key, "b").agg(F.count("*").alias("c"))
-    numeric = F.col("b").rlike("^(3[0-9]|2[BCDE]|0A|0D|09|20)$")
-    return counted.groupBy(key).agg(F.sum("c").cast("long").alias("size"), F.count("*").cast("long").alias("unique_bytes"), F.max("c").cast("long").alias("max_frequency"), F.sum(F.when(numeric, F.col("c")).otherwise(0)).cast("long").alias("numeric_like"))
+    """Over the first 64 KiB: size, different bytes, the largest byte count, numeric-like bytes; one row a document, nothing shuffled.
+    Documents without text have no row."""
+
+    def run(batches):
+        for batch in batches:
+            counts = [_counts(x) for x in batch.column(1).to_pylist()]
+            stats = [[int(c.sum()), int((c > 0).sum()), int(c.max()), int(c[_NUMERIC_LIKE].sum())] for c in counts]
+            columns = [pa.array(c, pa.int64()) for c in zip(*stats)] or [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *_STATS.names])
+
+    head = F.substring(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 1, STATS_BYTES).alias("head")
+    rows = docs.select(key, head).filter("octet_length(head) > 0")
+    return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, size long, unique_bytes long, max_frequency long, numeric_like long")
 
 
 def adaptive_level(stats: DataFrame) -> DataFrame:
@@ -45,7 +65,7 @@ _NUMERIC_LIKE = np.isin(np.arange(256), np.frombuffer(b"0123456789-+.,\r\n\t ",
 
 def level_of(data: bytes) -> int:
     """adaptive_level for one chunk in hand."""
-    counts = np.bincount(np.frombuffer(data[:STATS_BYTES], np.uint8), minlength=256)
+    counts = _counts(data)
     size, unique = max(1, int(counts.sum())), int((counts > 0).sum())
     if unique <= 16 or counts.max() / size >= 0.20:
         return 6

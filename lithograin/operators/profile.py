@@ -1,17 +1,19 @@
-"""Column facts by one unpivot and a two-stage aggregate.
+"""Column facts by one pass of plain aggregates.
 
-Stage one counts (column, value) with map-side combination, stage two folds the counts per column: one shuffle of
-distinct values serves counts, empties, lengths, the numeric share and the distinct count; length and pattern work
-runs once per distinct value and no Expand is planned.
+Counts, empties, lengths and the numeric share are sums; distinct counts, asked for up to CENSOR, come from a theta sketch of
+64-bit hashes, which is exact below its 2**SKETCH_BITS entries. So a column costs one bounded state a task, one row of it
+is shuffled a task, and no value is. Full distinct values travel only where a result needs them (value_counts).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import CENSOR, is_numeric, rendered
 
+SKETCH_BITS = 14
+
 
 def unpivot(df: DataFrame) -> DataFrame:
     """(column_index, column_name, value) for a frame of field texts."""
@@ -23,20 +25,46 @@ def value_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("column_index", "column_name", "value").agg(F.count("*").alias("c"))
 
 
-def facts_of_counts(counts: DataFrame) -> DataFrame:
-    size = F.octet_length("value").cast("long")
-    distinct = F.count("*")
-    return counts.groupBy("column_index", "column_name").agg(
-        F.sum("c").alias("observed_values"), F.sum(F.when(F.col("value") == "", F.col("c")).otherwise(0)).alias("empty_values"),
-        F.sum(F.when(is_numeric(F.col("value")), F.col("c")).otherwise(0)).alias("numeric_values"), F.min(size).alias("min_len"), F.max(size).alias("max_len"),
-        (F.sum(F.col("c") * size) / F.sum("c")).alias("mean_len"), F.sum(F.col("c") * size).alias("total_bytes"),
-        F.when(distinct >= CENSOR, "at_least").otherwise("exact").alias("cardinality_kind"), F.least(distinct, F.lit(CENSOR).cast("long")).alias("cardinality_value"),
+def _aggregates(value: Column, numeric: Column) -> list[Column]:
+    size = F.octet_length(value).cast("long")
+    return [
+        F.count("*").alias("observed_values"), F.sum((value == "").cast("long")).alias("empty_values"), F.sum(numeric.cast("long")).alias("numeric_values"), F.min(size).alias("min_len"),
+        F.max(size).alias("max_len"), F.sum(size).alias("total_bytes"), F.theta_sketch_agg(F.xxhash64(value), SKETCH_BITS).alias("_distinct"),
+    ]
+
+
+def _finished(facts: DataFrame) -> DataFrame:
+    distinct = F.theta_sketch_estimate("_distinct")
+    return facts.select(
+        "column_index", "column_name", "observed_values", "empty_values", "numeric_values", "min_len", "max_len", (F.col("total_bytes") / F.col("observed_values")).alias("mean_len"), "total_bytes",
+        F.when(distinct >= CENSOR, "at_least").otherwise("exact").alias("cardinality_kind"), F.least(distinct, F.lit(CENSOR)).cast("long").alias("cardinality_value"),
     )
 
 
+def facts_of_cells(cells: DataFrame) -> DataFrame:
+    """One row per column of cells(column_index, column_name, value)."""
+    value = F.col("value")
+    return _finished(cells.groupBy("column_index", "column_name").agg(*_aggregates(value, is_numeric(value))))
+
+
+#: Types whose texts are all numbers, or never are; others are put to the numeric grammar.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "decimal")
+_OTHERS = ("timestamp", "date", "boolean")
+
+
 def column_facts(df: DataFrame, dataset: str, scale: int = 2) -> DataFrame:
-    """One row per column of df."""
-    return facts_of_counts(value_counts(unpivot(rendered(df, scale)))).withColumn("dataset", F.lit(dataset))
+    """One row per column of df; no rows for no rows."""
+    texts, kinds, out = rendered(df, scale), dict(df.dtypes), []
+    if not texts.columns:
+        return facts_of_cells(df.sparkSession.createDataFrame([], "column_index int, column_name string, value string")).withColumn("dataset", F.lit(dataset))
+    for i, name in enumerate(texts.columns):
+        value, kind = F.col(f"`{name}`"), kinds[name]
+        numeric = value != "" if kind.startswith(_NUMBERS) else F.lit(False) if kind.startswith(_OTHERS) else is_numeric(value)
+        out.append([c.alias(f"{i}.{k}") for k, c in enumerate(_aggregates(value, numeric))])
+    names = ("observed_values", "empty_values", "numeric_values", "min_len", "max_len", "total_bytes", "_distinct")
+    one = texts.agg(*(c for column in out for c in column))
+    rows = F.array(*(F.struct(F.lit(i).alias("column_index"), F.lit(name).alias("column_name"), *(F.col(f"`{i}.{k}`").alias(n) for k, n in enumerate(names))) for i, name in enumerate(texts.columns)))
+    return _finished(one.select(F.inline(rows)).filter("observed_values > 0")).withColumn("dataset", F.lit(dataset))
 
 
 def sampled(df: DataFrame, keys: list[str], rows: int = 10_000, max_bytes: int | None = None) -> DataFrame:

@@ -20,8 +20,14 @@ COLUMN_REASONS = {
     "No strong dictionary signal": "NO_STRONG_DICTIONARY_SIGNAL",
 }
 TABLE_CODES = ("INSUFFICIENT_REPETITION_MAJORITY", "PROJECTED_DICTIONARY_SAVINGS_BELOW_THRESHOLD", "HIGH_REPETITION_DETECTED")
+#: Reasons of the first two; the third names the dictionary columns.
+TABLE_REASONS = (
+    "Insufficient repetition across majority of columns for dictionary gains.",
+    "Projected dictionary savings < 5%; RawZstd is more predictable.",
+)
+REASON_BYTES = 120
 
-#: Expressions over facts columns; the same text serves Spark and the reference SQL.
+#: Expressions over facts columns.
 UNIQUE = f"CASE WHEN cardinality_kind = 'at_least' THEN greatest(observed_values, {CENSOR}) ELSE cardinality_value END"
 REPETITION = (
     "CASE WHEN observed_values = 0 OR cardinality_kind = 'at_least' THEN cast(0 AS float) ELSE "
@@ -74,11 +80,13 @@ def table_plan(plan: DataFrame) -> DataFrame:
     out = plan.groupBy("dataset").agg(*(F.expr(text).alias(name) for name, text in TABLE_AGGREGATES.items()))
     out = out.withColumn("savings_percent", F.expr(SAVINGS)).withColumn("code", F.expr(CODE))
     out = out.withColumn("mode", F.when(F.col("code") == "HIGH_REPETITION_DETECTED", "csv_columnar_dictionary").otherwise("raw_zstd"))
-    return out.withColumn(
-        "reason",
-        F.when(F.col("code") == TABLE_CODES[0], "Insufficient repetition in most columns").when(F.col("code") == TABLE_CODES[1], "Projected dictionary savings < 5%")
-        .otherwise(F.concat(F.lit("High repetition detected in "), F.col("columns") - F.col("low_repetition"), F.lit("/"), F.col("columns"), F.lit(" columns."))),
-    )
+    high = F.concat(F.lit("High repetition detected in "), "dictionary_columns", F.lit("/"), "columns", F.lit(" columns."))
+    return out.withColumn("reason", F.when(F.col("code") == TABLE_CODES[0], TABLE_REASONS[0]).when(F.col("code") == TABLE_CODES[1], TABLE_REASONS[1]).otherwise(high))
+
+
+def stored_reason(reason: str) -> str:
+    """A column's reason as plans keep it: at most REASON_BYTES bytes of UTF-8, cut between characters."""
+    return reason.encode()[:REASON_BYTES].decode(errors="ignore")
 
 
 def with_limitation(table: DataFrame, limitation: str | None) -> DataFrame:

@@ -119,7 +119,7 @@ def analyze(spark: SparkSession, path: str, delimiter: bytes | None = None, data
             cells = _cells(_whole(spark, path, delimiter), header)
         else:
             cells = _cells(spark.createDataFrame([(r,) for r in seen.rows], "fields array<string>"), header) if header else spark.createDataFrame([], CELL)
-        counted = profile.facts_of_counts(profile.value_counts(cells))
+        counted = profile.facts_of_cells(cells)
         try:
             got = counted.collect()  # a row a column, at most limits.columns
         except PySparkException as e:
