@@ -198,11 +198,14 @@ def plan_diagnostics(spark, sf_dir):
 
 @query(
     "advisor_recommendations",
-    f"SELECT dataset, 1 AS ord, CASE WHEN code = 'HIGH_REPETITION_DETECTED' THEN 'STRUCTURED_COMPRESSION_RECOMMENDED' ELSE 'RAW_ZSTD_RECOMMENDED' END AS code, 'planner:' || code AS evidence FROM ({TABLE_SQL}) "
-    f"UNION ALL SELECT dataset, 2, 'HIGH_CARDINALITY_OBSERVED', string_agg('column:' || column_index, ',' ORDER BY column_index) FROM ({ALL_SQL}) WHERE cardinality_kind = 'at_least' GROUP BY dataset",
+    f"""SELECT dataset, 1 AS ord, 'STRUCTURED_COMPRESSION_RECOMMENDED' AS code, 'compression_strategy' AS category, 'PlannerPolicyV1 recommends structured compression for the analyzed scope; compression retains its safe RawZstd fallback.' AS message, 'planner_policy:' || code AS evidence FROM ({TABLE_SQL}) WHERE code = 'HIGH_REPETITION_DETECTED'
+UNION ALL SELECT dataset, 1, 'RAW_ZSTD_RECOMMENDED', 'compression_strategy', 'PlannerPolicyV1 recommends RawZstd for the analyzed scope.', 'planner_policy:' || code FROM ({TABLE_SQL}) WHERE code <> 'HIGH_REPETITION_DETECTED'
+UNION ALL SELECT dataset, 2, 'HIGH_CARDINALITY_OBSERVED', 'dataset_observation', 'One or more columns reached a censored lower bound of at least 8193 distinct observed values.',
+  string_agg(format('analysis_diagnostic:CARDINALITY_LIMIT_REACHED:{{0}},column_policy:CARDINALITY_THRESHOLD_EXCEEDED:{{0}}', column_index), ',' ORDER BY column_index) FROM ({ALL_SQL}) WHERE cardinality_kind = 'at_least' GROUP BY dataset""",
 )
 def advisor_recommendations(spark, sf_dir):
     plans = all_plans(spark, sf_dir)
+    plans = spark.createDataFrame(plans.collect(), plans.schema)  # a row a column, read twice
     return policy.advise(plans, policy.table_plan(plans))
 
 

@@ -126,15 +126,33 @@ def diagnostics(plan: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return empty.unionByName(twice).unionByName(censored)
 
 
-def advise(plan: DataFrame, table: DataFrame, limited: bool = False) -> DataFrame:
-    """Ordered recommendations with evidence per dataset."""
-    first = table.select(
-        "dataset", F.lit(1).alias("ord"),
-        F.when(F.col("mode") == "raw_zstd", "RAW_ZSTD_RECOMMENDED").otherwise("STRUCTURED_COMPRESSION_RECOMMENDED").alias("code"), F.concat(F.lit("planner:"), F.col("code")).alias("evidence"),
-    )
-    high = plan.filter("cardinality_kind = 'at_least'").groupBy("dataset").agg(F.array_join(F.transform(F.array_sort(F.collect_set("column_index")), lambda i: F.concat(F.lit("column:"), i.cast("string"))), ",").alias("evidence"))
-    out = first.unionByName(high.select("dataset", F.lit(2).alias("ord"), F.lit("HIGH_CARDINALITY_OBSERVED").alias("code"), "evidence"))
-    if limited:
-        for i, code in ((3, "ANALYSIS_LIMITED"), (4, "FULL_COMPARISON_RECOMMENDED")):
-            out = out.unionByName(table.select("dataset", F.lit(i).alias("ord"), F.lit(code).alias("code"), F.lit("sampling").alias("evidence")))
-    return out
+#: Category and message of each recommendation; raw storage has one message a source of its selection.
+ADVICE = {
+    "STRUCTURED_COMPRESSION_RECOMMENDED": ("compression_strategy", "PlannerPolicyV1 recommends structured compression for the analyzed scope; compression retains its safe RawZstd fallback."),
+    "RAW_ZSTD_RECOMMENDED": ("compression_strategy", "PlannerPolicyV1 recommends RawZstd for the analyzed scope."),
+    "HIGH_CARDINALITY_OBSERVED": ("dataset_observation", "One or more columns reached a censored lower bound of at least 8193 distinct observed values."),
+    "ANALYSIS_LIMITED": ("analysis_limitation", "Analysis is partial because a configured sampling or safety limit was reached."),
+    "FULL_COMPARISON_RECOMMENDED": ("next_action", "Run Compare in Full mode when complete-input measurements and round-trip validation are needed."),
+}
+RAW_BY_SAFETY = "Analysis safety limits require the byte-preserving RawZstd fallback."
+RAW_WITHOUT_ANALYSIS = "Structured analysis is unavailable; use the byte-preserving RawZstd fallback."
+
+
+def advise(plan: DataFrame, table: DataFrame, partial: bool = False, limits: tuple[str, ...] = ()) -> DataFrame:
+    """Ordered recommendations per dataset: code, category, message, and evidence as source:code or source:code:column,
+    comma-joined. limits: the codes of what made the analysis partial."""
+    safe = F.col("selection_scope") == "safe_fallback" if "selection_scope" in table.columns else F.lit(False)
+    chosen = F.concat(F.when(safe, "safety_policy:").otherwise("planner_policy:"), "code")
+    category, message = (F.create_map(*(F.lit(x) for code, pair in ADVICE.items() for x in (code, pair[i]))) for i in range(2))
+    parts = [table.select("dataset", F.lit(1).alias("ord"), F.when(F.col("mode") == "raw_zstd", "RAW_ZSTD_RECOMMENDED").otherwise("STRUCTURED_COMPRESSION_RECOMMENDED").alias("name"), chosen.alias("evidence"), safe.alias("safe"))]
+    at = F.col("column_index").cast("string")
+    seen = F.concat(F.lit("analysis_diagnostic:CARDINALITY_LIMIT_REACHED:"), at, F.when(F.col("reason_code") == "CARDINALITY_THRESHOLD_EXCEEDED", F.concat(F.lit(",column_policy:CARDINALITY_THRESHOLD_EXCEEDED:"), at)).otherwise(""))
+    high = plan.filter("cardinality_kind = 'at_least'").groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("column_index", seen.alias("e")))).alias("all"))  # a row a column
+    parts.append(high.select("dataset", F.lit(2).alias("ord"), F.lit("HIGH_CARDINALITY_OBSERVED").alias("name"), F.array_join(F.transform("all", lambda x: x["e"]), ",").alias("evidence"), F.lit(False).alias("safe")))
+    if partial:
+        limiting = F.lit(",".join(f"analysis_diagnostic:{code}" for code in dict.fromkeys(limits))) if limits else chosen
+        parts += [table.select("dataset", F.lit(i).alias("ord"), F.lit(name).alias("name"), limiting.alias("evidence"), F.lit(False).alias("safe")) for i, name in ((3, "ANALYSIS_LIMITED"), (4, "FULL_COMPARISON_RECOMMENDED"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("dataset", "ord", F.col("name").alias("code"), category[F.col("name")].alias("category"), F.when(F.col("safe"), RAW_BY_SAFETY).otherwise(message[F.col("name")]).alias("message"), "evidence")

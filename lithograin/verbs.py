@@ -36,6 +36,12 @@ NONE = Operation("none")
 WIDTH = "row has other columns than the header"
 
 
+def evidence(joined: str) -> list[dict]:
+    """source:code[:column] items as report objects."""
+    items = [item.split(":") for item in joined.split(",")]
+    return [{"source": i[0], "code": i[1], "column_index": int(i[2]) if len(i) > 2 else None} for i in items]
+
+
 @dataclass(frozen=True)
 class Analysis:
     delimiter: bytes
@@ -59,7 +65,7 @@ class Analysis:
         dataset = {"delimiter": self.delimiter.decode(), "columns": rows(self.facts, "column_index")}
         planner = {"columns": rows(self.plan.select("column_index", "column_name", "u", "repetition", "strategy", "reason", "reason_code", "encoded_bytes", "raw_bytes"), "column_index"), "table": table[0].asDict() if table else None}
         if kind == "advisor":
-            return {**out, "policy": {"name": "planner_policy", "version": 1}, "analysis": {"dataset": dataset, "planner": planner}, "recommendations": rows(self.advice, "ord")}
+            return {**out, "policy": {"name": "planner_policy", "version": 1}, "analysis": {"dataset": dataset, "planner": planner}, "recommendations": [{**r, "evidence": evidence(r["evidence"])} for r in rows(self.advice, "ord")]}
         return {**out, "dataset": dataset, "planner": planner, "diagnostics": rows(self.diagnostics, "ord", "column_index")}
 
 
@@ -139,10 +145,11 @@ def analyze(spark: SparkSession, path: str, delimiter: bytes | None = None, data
         table = policy.table_plan(plan) if header else _no_columns(spark, dataset)
         table = policy.with_limitation(table, limitations[0] if limitations else None)
         status = profile.name_status(spark.createDataFrame(list(enumerate(header)), "column_index int, column_name string")).withColumn("dataset", F.lit(dataset))
-        notes = [(dataset, None, code, 0) for code in ([f"SAMPLE_{seen.coverage.stop_reason.upper()}_REACHED"] if seen.coverage.stop_reason in ("byte_limit", "record_limit") else []) + limitations]
+        limiting = ([f"SAMPLE_{seen.coverage.stop_reason.upper()}_REACHED"] if seen.coverage.stop_reason in ("byte_limit", "record_limit") else []) + limitations
+        notes = [(dataset, None, code, 0) for code in limiting]
         notes = policy.diagnostics(plan, status).unionByName(spark.createDataFrame(notes, "dataset string, column_index int, code string, ord int"))
         sampling = seen.coverage.block(limitations)
-    return Analysis(delimiter, header, facts, plan, table, notes, policy.advise(plan, table, sampling["completeness"] == "partial"), sampling, limitations)
+    return Analysis(delimiter, header, facts, plan, table, notes, policy.advise(plan, table, sampling["completeness"] == "partial", tuple(limiting)), sampling, limitations)
 
 
 def _every_column(spark: SparkSession, got: list, schema, header: list[str]) -> DataFrame:
@@ -157,10 +164,11 @@ def advise(spark: SparkSession, path: str, sample: bounded.Sample | None = None,
     try:
         return analyze(spark, path, sample=sample, op=op).report("advisor")
     except BadInput as e:
-        codes = ("RAW_ZSTD_RECOMMENDED", "FULL_COMPARISON_RECOMMENDED")
+        why = evidence("analysis_status:STRUCTURED_ANALYSIS_UNAVAILABLE")
+        advice = (("RAW_ZSTD_RECOMMENDED", policy.RAW_WITHOUT_ANALYSIS), ("FULL_COMPARISON_RECOMMENDED", policy.ADVICE["FULL_COMPARISON_RECOMMENDED"][1]))
         return {
             "schema_version": SCHEMA_VERSION, "report_type": "advisor", "policy": {"name": "planner_policy", "version": 1}, "analysis": None, "unavailable": str(e),
-            "recommendations": [{"ord": i, "code": c, "evidence": "analysis:STRUCTURED_ANALYSIS_UNAVAILABLE"} for i, c in enumerate(codes, 1)],
+            "recommendations": [{"ord": i, "code": c, "category": policy.ADVICE[c][0], "message": m, "evidence": why} for i, (c, m) in enumerate(advice, 1)],
         }
 
 
