@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -51,11 +52,11 @@ def write_payload(rows: list[list[bytes]], modes: list[str], delimiter: bytes =
     for i, mode in enumerate(modes):
         values = [r[i] for r in rows]
         if mode == "plain":
-            out += [b"\0", *(struct.pack("<I", len(v)) + v for v in values)]
+            out += [b"\0", *(piece for v in values for piece in (len(v).to_bytes(4, "little"), v))]
             continue
         codes = {v: k for k, v in enumerate(dict.fromkeys(values))}
         width = id_width(len(codes))
-        out += [b"\1", bytes([width]), struct.pack("<I", len(codes)), *(struct.pack("<I", len(v)) + v for v in codes), *(codes[v].to_bytes(width, "little") for v in values)]
+        out += [b"\1", bytes([width]), struct.pack("<I", len(codes)), *(struct.pack("<I", len(v)) + v for v in codes), np.fromiter(map(codes.__getitem__, values), f"<u{width}", len(values)).tobytes()]
     return b"".join(out)
 
 
@@ -88,10 +89,10 @@ def read_payload(data: bytes, limit: int) -> bytes:
             entries = [take(struct.unpack("<I", take(4))[0]) for _ in range(struct.unpack("<I", take(4))[0])]
             if size != id_width(len(entries)):
                 raise ValueError("bad id width")
-            codes = [int.from_bytes(take(size), "little") for _ in range(n)]
-            if any(c >= len(entries) for c in codes):
+            codes = np.frombuffer(take(size * n), f"<u{size}")
+            if n and int(codes.max()) >= len(entries):
                 raise ValueError("a code is outside its dictionary")
-            columns.append([entries[c] for c in codes])
+            columns.append([entries[c] for c in codes.tolist()])
         else:
             raise ValueError("unknown column mode")
     if at != len(data):

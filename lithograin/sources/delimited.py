@@ -36,6 +36,23 @@ def scan(data: bytes, delimiter: bytes = b",", max_fields: int = MAX_FIELDS, max
     style, at, n = None, 0, len(data)
     while at < n:
         begin, fields = at, []
+        end = data.find(b"\n", at)
+        line = data[at : end if end >= 0 else n]
+        # most records hold no quote and are a line
+        if b'"' not in line:
+            crlf = end >= 0 and line.endswith(b"\r")
+            body = line[:-1] if crlf else line
+            fields = body.split(delimiter) if b"\r" not in body and len(body) <= max_record else []
+            if 0 < len(fields) <= max_fields:
+                newline = b"\r\n" if crlf else b"\n" if end >= 0 else b""
+                if newline:
+                    if one_newline and style not in (None, newline):
+                        raise Malformed("mixed_newlines", len(fields))
+                    style = newline
+                at += len(line) + (end >= 0)
+                yield fields, newline
+                continue
+            fields = []
         while True:
             start = at
             if data[at : at + 1] == b'"':
