@@ -36,7 +36,8 @@ def parser() -> argparse.ArgumentParser:
     command("analyze", "input", flags="plan json pretty", sample_mb=64)
     p = command("compress", "input", "output", flags="verify-best chunked adaptive-level profile force keep-temp", sample_mb=64, max_dictionary_values=65_535, max_dictionary_mb=64, chunk_size_mb=None, threads=None, max_in_flight_chunks=None, max_memory_mb=None)
     p.add_argument("--mode", choices=("fast", "best"), default="fast")
-    command("decompress", "input", "output", flags="profile force keep-temp", max_output_mb=None, max_chunks=None, max_memory_mb=None)
+    p.add_argument("--backend", choices=verbs.BACKENDS)
+    command("decompress", "input", "output", flags="profile force keep-temp no-verify", max_output_mb=None, max_chunks=None, max_memory_mb=None)
     p = command("validate", "archive", flags="json pretty", max_output_mb=None, max_chunks=None, max_memory_mb=512)
     p.add_argument("--against")
     p = command("compare", "input", flags="json pretty", runs=3, max_input_mb=None)
@@ -53,16 +54,19 @@ def parser() -> argparse.ArgumentParser:
 
 
 def text_of(report: dict, depth: int = 0) -> str:
-    """A report as indented lines; lists of records become one line each."""
-    out = []
+    """A report as indented lines; a list of records becomes a table with columns of fixed width."""
+    out, pad = [], "  " * depth
     for k, v in report.items():
         if isinstance(v, dict):
-            out += ["  " * depth + f"{k}:", text_of(v, depth + 1)]
+            out += [f"{pad}{k}:", text_of(v, depth + 1)]
         elif isinstance(v, list) and v and isinstance(v[0], dict):
-            out.append("  " * depth + f"{k}:")
-            out += ["  " * (depth + 1) + "  ".join(f"{a}={_shown(b)}" for a, b in row.items()) for row in v]
+            names = list(dict.fromkeys(name for row in v for name in row))
+            cells = [names] + [[_shown(row.get(name)) for name in names] for row in v]
+            wide = [max(len(row[i]) for row in cells) for i in range(len(names))]
+            out.append(f"{pad}{k}:")
+            out += [f"{pad}  " + "  ".join(c.ljust(w) for c, w in zip(row, wide)).rstrip() for row in cells]
         else:
-            out.append("  " * depth + f"{k}: {_shown(v)}")
+            out.append(f"{pad}{k}: {_shown(v)}")
     return "\n".join(x for x in out if x)
 
 
@@ -100,17 +104,22 @@ def _generate(spark: SparkSession, a) -> dict:
 def run(spark: SparkSession, a, op: Operation) -> dict:
     limits = verbs.ArchiveLimits(_mib(a.max_output_mb), a.max_chunks, _mib(a.max_memory_mb)) if a.command in ("decompress", "validate") else None
     if a.command == "analyze":
-        seen = verbs.analyze(spark, a.input, sample=Sample(a.sample_mb), op=op)
-        return seen.report()
+        report = verbs.analyze(spark, a.input, sample=Sample(a.sample_mb), op=op).report()
+        if not a.plan and not a.json:  # the text report gives the plan of single columns on demand
+            report["planner"] = {"table": report["planner"]["table"]}
+        return report
     if a.command == "advisor":
         return verbs.advise(spark, a.input, Sample(a.sample_mb), op)
     if a.command == "compress":
-        if a.chunked or a.chunk_size_mb or a.threads or a.adaptive_level or a.max_in_flight_chunks:
-            chunk = _mib(a.chunk_size_mb) or 64 * MIB
-            return verbs.compress(spark, a.input, a.output, chunk, overwrite=a.force, adaptive=a.adaptive_level, threads=a.threads, max_memory=_mib(a.max_memory_mb), keep_partial=a.keep_temp, op=op)
+        if a.chunked or a.backend or a.adaptive_level or any(x is not None for x in (a.chunk_size_mb, a.threads, a.max_in_flight_chunks)):
+            chunk = 64 * MIB if a.chunk_size_mb is None else _mib(a.chunk_size_mb)
+            return verbs.compress(
+                spark, a.input, a.output, chunk, overwrite=a.force, adaptive=a.adaptive_level, threads=a.threads, max_memory=_mib(a.max_memory_mb), keep_partial=a.keep_temp, op=op,
+                in_flight=a.max_in_flight_chunks, backend=a.backend or verbs.BACKENDS[0],
+            )
         return verbs.compress_v1(spark, a.input, a.output, a.mode, a.verify_best, a.max_dictionary_values, a.max_dictionary_mb, Sample(a.sample_mb), a.force, a.keep_temp, op)
     if a.command == "decompress":
-        return verbs.decompress(spark, a.input, a.output, a.force, limits, a.keep_temp, op)
+        return verbs.decompress(spark, a.input, a.output, a.force, limits, a.keep_temp, op, not a.no_verify)
     if a.command == "validate":
         return verbs.validate(spark, a.archive, a.against, limits, op)
     if a.command == "compare":
@@ -146,6 +155,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         code, category, status = describe(e)
         print(json.dumps({"error": code, "category": category, "message": str(e)}), file=sys.stderr)
         return status
+    for notice in report.get("notices", ()):
+        print(notice, file=sys.stderr)
     if getattr(a, "json", False):
         print(json.dumps(report, default=str, indent=2 if getattr(a, "pretty", False) else None))
     else:

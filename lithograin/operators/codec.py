@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 MAGIC = b"DCSV01"
 
 
-def compress(data: bytes, level: int = 3) -> bytes:
-    return zstandard.ZstdCompressor(level=level, write_content_size=True).compress(data)
+def compress(data: bytes, level: int = 3, threads: int = 0) -> bytes:
+    return zstandard.ZstdCompressor(level=level, write_content_size=True, threads=threads).compress(data)
 
 
 def decompress(data: bytes, limit: int) -> bytes:

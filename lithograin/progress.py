@@ -23,28 +23,36 @@ PHASES = (
 )
 
 
+@dataclass(frozen=True)
+class Count:
+    """How much is done, of how much (None: not known)."""
+
+    done: int = 0
+    of: int | None = None
+
+
 @dataclass(frozen=True)
 class Event:
+    """One report of an operation: where it is, and the bytes and items of the phase."""
+
     operation: str
     phase: str
     state: str
-    completed_bytes: int = 0
-    total_bytes: int | None = None
-    completed_items: int = 0
-    total_items: int | None = None
+    bytes: Count = Count()
+    items: Count = Count()
 
     @property
     def percentage(self) -> float | None:
-        """Of bytes; unknown totals have none, an empty phase is 100 once it is completed."""
-        if self.total_bytes is None:
-            return None
-        if self.total_bytes == 0:
-            return 100.0 if self.state == "completed" else None
-        return min(100.0, 100.0 * self.completed_bytes / self.total_bytes)
+        """Share of the phase's bytes; a phase of no bytes is whole when it completes and has no share before."""
+        done, of = self.bytes.done, self.bytes.of
+        if of:
+            return min(done / of, 1.0) * 100
+        return 100.0 if of == 0 and self.state == "completed" else None
 
     @property
     def is_success(self) -> bool:
-        return self.phase == "finalizing" and self.state == "completed"
+        """Is this the last event of an operation that went well?"""
+        return (self.phase, self.state) == (PHASES[-1], "completed")
 
 
 class Token:
@@ -76,7 +84,7 @@ class Operation:
 
     def emit(self, phase: str, state: str, done: int = 0, total: int | None = None, items: int = 0, of: int | None = None) -> None:
         if self.observer is not None:
-            self.observer(Event(self.name, phase, state, done, total, items, of))
+            self.observer(Event(self.name, phase, state, Count(done, total), Count(items, of)))
 
     @contextlib.contextmanager
     def phase(self, phase: str, total: int | None = None, of: int | None = None):

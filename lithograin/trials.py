@@ -53,6 +53,17 @@ class Options:
             raise BadOption("runs are 1 to 25, the input bound at least 1 MiB")
 
 
+#: Above this size a benchmark of everything is announced as long.
+LARGE_INPUT = 1 << 30
+
+
+def large_input(size: int, o: Options) -> str | None:
+    """A notice for a whole benchmark of a large source; it stops nothing."""
+    if size > LARGE_INPUT and not (o.estimate_only or o.no_baseline or o.no_roundtrip or o.no_hash or o.max_input_mb is not None):
+        return f"the input has {size} bytes: a whole benchmark packs, restores and hashes it several times"
+    return None
+
+
 class _Scratch:
     """A folder of its own, removed at the end."""
 
@@ -88,6 +99,7 @@ def benchmark(spark: SparkSession, source: str, options: Options = Options(), op
         measured, cut = verbs.prefix_of(source, folder, None if options.max_input_mb is None else options.max_input_mb * MIB)
         size = os.path.getsize(measured)
         out = {"schema_version": 1, "report_type": "benchmark", "source_bytes": os.path.getsize(source), "measured_bytes": size, "runs": options.runs, **_status(spark, options, cut)}
+        out["notices"] = [notice] if (notice := large_input(out["source_bytes"], options)) else []
         planned, plan = "raw_zstd", None
         try:
             seen = verbs.analyze(spark, measured, sample=bounded.Sample(), op=op)

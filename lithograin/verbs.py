@@ -14,6 +14,7 @@ import statistics
 import tempfile
 import time
 import uuid
+import warnings
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import BadInput, BadOption, MetadataError, OutputExists, UnreadableInput
-from .operators import measure, profile
+from .operators import measure, profile, text
 from .operators.chunks import level_of
 from .operators.codec import columnar_modes, read_payload, write_payload
 from .operators.codec import compress as frame_of
@@ -62,8 +63,10 @@ class Analysis:
 
         out = {"schema_version": SCHEMA_VERSION, "report_type": kind, "sampling": self.sampling, "limitations": self.limitations}
         table = self.table.collect()
+        columns = rows(self.plan.select("column_index", "column_name", "u", "repetition", "strategy", "reason", "reason_code", "encoded_bytes", "raw_bytes"), "column_index")
+        columns = [{**r, "reason": policy.stored_reason(r["reason"])} for r in columns]
         dataset = {"delimiter": self.delimiter.decode(), "columns": rows(self.facts, "column_index")}
-        planner = {"columns": rows(self.plan.select("column_index", "column_name", "u", "repetition", "strategy", "reason", "reason_code", "encoded_bytes", "raw_bytes"), "column_index"), "table": table[0].asDict() if table else None}
+        planner = {"columns": columns, "table": table[0].asDict() if table else None}
         if kind == "advisor":
             return {**out, "policy": {"name": "planner_policy", "version": 1}, "analysis": {"dataset": dataset, "planner": planner}, "recommendations": [{**r, "evidence": evidence(r["evidence"])} for r in rows(self.advice, "ord")]}
         return {**out, "dataset": dataset, "planner": planner, "diagnostics": rows(self.diagnostics, "ord", "column_index")}
@@ -152,6 +155,28 @@ def analyze(spark: SparkSession, path: str, delimiter: bytes | None = None, data
     return Analysis(delimiter, header, facts, plan, table, notes, policy.advise(plan, table, sampling["completeness"] == "partial", tuple(limiting)), sampling, limitations)
 
 
+def analyze_bytes(spark: SparkSession, name: str, data: bytes) -> dict:
+    """Full-buffer statistics of bytes in hand, by the extension of name: columns of a comma file, lines and phrases of any
+    other text. Bytes that are no UTF-8 are replaced."""
+    kind, lines = archive_v1.file_type(name), data.decode(errors="replace")
+    out = {"file_type": kind, "original_size": len(data), "csv": None, "txt": None}
+    held = spark.createDataFrame([(lines,)], "text string")
+    if kind != "csv":
+        stats = text.line_stats(held).first().asDict()
+        return {**out, "txt": {**stats, "phrases": [r.asDict() for r in text.top_phrases(held).collect()]}}
+    delimiter, headers, newline = held.select(text.legacy_delimiter(F.col("text")), text.has_header(F.col("text")), text.newline_style(F.col("text"))).first()
+    mark = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}[delimiter]
+    rows = held.select(F.posexplode(text.lines(F.col("text"))).alias("row", "line")).filter("line <> ''").select("row", F.split("line", "\\" + mark, -1).alias("fields"))
+    first = rows.orderBy("row").first()
+    names = first.fields if first else []
+    names = names if headers else [f"column_{i}" for i in range(1, len(names) + 1)]
+    body = rows.filter(F.col("row") > first.row) if first and headers else rows
+    cells = body.select(F.posexplode("fields").alias("column_index", "value")).filter(F.col("column_index") < len(names)) if names else spark.createDataFrame([], CELL)
+    named = cells.withColumn("column_name", F.element_at(F.array(*map(F.lit, names)), F.col("column_index") + 1)) if names else cells
+    columns = profile.legacy_stats(profile.value_counts(named)).orderBy("column_index").collect()  # a row a column
+    return {**out, "csv": {"delimiter": delimiter, "has_header": headers, "newline": newline, "rows": body.count() if names else 0, "columns": [r.asDict() for r in columns]}}
+
+
 def _every_column(spark: SparkSession, got: list, schema, header: list[str]) -> DataFrame:
     """Facts with an empty row for each column that no record gave a value."""
     have = {r.column_index for r in got}
@@ -180,18 +205,28 @@ def _output(path: str, overwrite: bool, *inputs: str, keep_partial: bool = False
             raise BadOption("the output is the input")
     if os.path.exists(path) and (not overwrite or not os.path.isfile(path)):
         raise OutputExists(path)
-    part = f"{path}.{uuid.uuid4().hex}.partial"
-    done = False
+    part, backup = (f"{path}.{uuid.uuid4().hex}.{kind}" for kind in ("partial", "backup"))
+    done = kept = False
     try:
         with open(part, "wb") as f:
             yield f
             f.flush()
             os.fsync(f.fileno())
+        if os.path.exists(path):
+            os.replace(path, backup)
+            kept = True
         os.replace(part, path)
         done = True
     finally:
+        if kept and not done:
+            os.replace(backup, path)
         if os.path.exists(part) and (done or not keep_partial):
             os.remove(part)
+        if kept and done:
+            try:
+                os.remove(backup)
+            except OSError as e:  # the output stands; what is left over is only reported
+                warnings.warn(f"the previous output stays as {backup}: {e}", stacklevel=3)
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -215,8 +250,13 @@ def _digest(path: str, advance=lambda n: None) -> tuple[int, bytes]:
     return size, seen.digest()
 
 
-def frames(spark: SparkSession, source: str, chunk: int, level: int | None, slots: int | None = None) -> DataFrame:
-    """(chunk_id, size, level, sha256, frame) of a file, one chunk in memory per task; level None: by the chunk's bytes."""
+#: Names of the packing backends: one thread a chunk, or the compressor's own threads within a chunk; both write the same format.
+BACKENDS = ("chunked-raw-zstd", "zstd-mt-experimental")
+
+
+def frames(spark: SparkSession, source: str, chunk: int, level: int | None, slots: int | None = None, inner: int = 0) -> DataFrame:
+    """(chunk_id, size, level, sha256, frame, seconds) of a file, one chunk in memory per task; level None: by the chunk's
+    bytes; inner: threads that the compressor takes within a chunk."""
     n = -(-os.path.getsize(source) // chunk)
 
     def run(batches):
@@ -226,34 +266,42 @@ def frames(spark: SparkSession, source: str, chunk: int, level: int | None, slot
                     f.seek(i * chunk)
                     data = f.read(chunk)
                     how = level_of(data) if level is None else level
-                    out = [[i], [len(data)], [how], [hashlib.sha256(data).digest()], [frame_of(data, how)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk_id", "size", "level", "sha256", "frame"])
+                    began = time.perf_counter()
+                    frame = frame_of(data, how, inner)
+                    out = [[i], [len(data)], [how], [hashlib.sha256(data).digest()], [frame], [time.perf_counter() - began]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64()))], names=["chunk_id", "size", "level", "sha256", "frame", "seconds"])
 
     slots = max(1, min(n, slots or 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, n, 1, slots).mapInArrow(run, "chunk_id long, size long, level int, sha256 binary, frame binary")
+    return spark.range(0, n, 1, slots).mapInArrow(run, "chunk_id long, size long, level int, sha256 binary, frame binary, seconds double")
 
 
 def compress(
     spark: SparkSession, source: str, target: str, chunk: int = CHUNK, level: int = LEVEL, overwrite: bool = False, adaptive: bool = False, threads: int | None = None,
-    max_memory: int | None = None, keep_partial: bool = False, op: Operation = NONE,
+    max_memory: int | None = None, keep_partial: bool = False, op: Operation = NONE, in_flight: int | None = None, backend: str = BACKENDS[0],
 ) -> dict:
-    """Writes a chunked archive; the report gives sizes, digest, ratio and levels. threads: partitions that pack at once."""
-    if not 1 <= chunk <= archive.MAX_CHUNK or not 1 <= level <= 22 or (threads is not None and threads < 1):
-        raise BadOption("chunk size, level or threads is out of range")
-    if max_memory is not None and chunk > max_memory:
-        raise BadOption("one chunk needs more memory than allowed")
+    """Writes a chunked archive; the report gives sizes, digest, ratio, levels and times of the chunks. threads: partitions
+    that pack at once (or, with the second backend, the compressor's threads within a chunk); in_flight: chunks that may be
+    in memory at once, which bounds the partitions."""
+    if not 1 <= chunk <= archive.MAX_CHUNK or not 1 <= level <= 22 or any(x is not None and x < 1 for x in (threads, in_flight)):
+        raise BadOption("chunk size, level, threads or chunks in flight is out of range")
+    if backend not in BACKENDS:
+        raise BadOption(f"backend is one of {', '.join(BACKENDS)}")
+    inner = threads or 0 if backend == BACKENDS[1] else 0
+    slots = min((x for x in (None if inner else threads, in_flight) if x is not None), default=None)
+    if max_memory is not None and (1 if slots is None else slots) * chunk > max_memory:
+        raise BadOption("the chunks in memory need more than allowed")
     began = time.perf_counter()
     total, levels = os.path.getsize(source), {}
     with _output(target, overwrite, source, keep_partial=keep_partial) as f:
         with op.phase("compressing", total), op.jobs(spark):
-            packed = _checkpointed(frames(spark, source, chunk, None if adaptive else level, threads))
+            packed = _checkpointed(frames(spark, source, chunk, None if adaptive else level, slots, inner))
         with op.phase("hashing", total) as advance:
             seen, digest = _digest(source, advance)
         if seen != total:
             raise MetadataError("the source changed while it was read")
         count = -(-total // chunk)
         f.seek(archive.HEAD + archive.ENTRY * count)
-        at, entries = f.tell(), []
+        at, entries, times = f.tell(), [], []
         # range partitions keep chunk order, so no sort is needed
         with op.phase("writing_archive", total, count) as advance, op.jobs(spark):
             for row in packed.toLocalIterator():
@@ -261,6 +309,7 @@ def compress(
                 f.write(row.frame)
                 at += len(row.frame)
                 levels[row.level] = levels.get(row.level, 0) + 1
+                times.append(row.seconds)
                 advance(row.size)
         f.seek(0)
         f.write(archive.head_bytes(total, digest, count, chunk) + b"".join(entries))
@@ -268,7 +317,7 @@ def compress(
     op.emit("finalizing", "completed", total, total)
     return {
         "schema_version": SCHEMA_VERSION, "report_type": "compression", "archive_version": 2, "selected_mode": "raw_zstd", "source_bytes": total, "archive_bytes": at, "chunks": count, "level": level,
-        "levels": dict(sorted(levels.items())), "sha256": digest.hex(), "ratio": total / at, "seconds": time.perf_counter() - began, "diagnostics": [],
+        "levels": dict(sorted(levels.items())), "backend": backend, "chunk_seconds": {"average": sum(times) / len(times), "least": min(times), "most": max(times)} if times else None, "sha256": digest.hex(), "ratio": total / at, "seconds": time.perf_counter() - began, "diagnostics": [],
     }
 
 
@@ -386,8 +435,9 @@ def _v1(source: str, f, limits: ArchiveLimits):
     return head, archive_v1.restore(f, head, limits.memory_bytes)
 
 
-def decompress(spark: SparkSession, source: str, target: str, overwrite: bool = False, limits: ArchiveLimits = ArchiveLimits(), keep_partial: bool = False, op: Operation = NONE) -> dict:
-    """Restores the file; chunks are decoded and proven by the archive reader, the whole by its digest (version 1: by its length)."""
+def decompress(spark: SparkSession, source: str, target: str, overwrite: bool = False, limits: ArchiveLimits = ArchiveLimits(), keep_partial: bool = False, op: Operation = NONE, verify: bool = True) -> dict:
+    """Restores the file; chunks are decoded and proven by the archive reader, the whole by its digest (version 1: by its
+    length). Without verify the whole's digest is neither made nor compared."""
     began, what = time.perf_counter(), version(source)
     seen, size, chunks = hashlib.sha256(), 0, 0
     with _output(target, overwrite, source, keep_partial=keep_partial) as f:
@@ -397,7 +447,8 @@ def decompress(spark: SparkSession, source: str, target: str, overwrite: bool =
                 with op.phase("decompressing", head.original_size) as advance:
                     for piece in pieces:
                         f.write(piece)
-                        seen.update(piece)
+                        if verify:
+                            seen.update(piece)
                         size += len(piece)
                         advance(len(piece))
         else:
@@ -408,16 +459,17 @@ def decompress(spark: SparkSession, source: str, target: str, overwrite: bool =
                     spark.dataSource.register(archive.ArchiveSource)
                     for row in spark.read.format("lithograin-archive").load(source).toLocalIterator(prefetchPartitions=True):
                         f.write(row.data)
-                        seen.update(row.data)
+                        if verify:
+                            seen.update(row.data)
                         size += len(row.data)
                         advance(len(row.data))
             if size != total:
                 raise archive.InvalidArchive("restored_length", "sizes differ")
-            if seen.digest() != digest:
+            if verify and seen.digest() != digest:
                 raise archive.InvalidArchive("global_hash", "digests differ")
         op.checkpoint()
     op.emit("finalizing", "completed", size, size)
-    return {"schema_version": SCHEMA_VERSION, "report_type": "decompression", "archive_version": what, "restored_bytes": size, "chunks": chunks, "sha256": seen.hexdigest(), "seconds": time.perf_counter() - began}
+    return {"schema_version": SCHEMA_VERSION, "report_type": "decompression", "archive_version": what, "restored_bytes": size, "chunks": chunks, "sha256": seen.hexdigest() if verify else None, "seconds": time.perf_counter() - began}
 
 
 def _first_bad_chunk(spark: SparkSession, source: str, entries: list) -> str | None:
@@ -526,13 +578,35 @@ def prefix_of(source: str, folder: str, size: int | None) -> tuple[str, bool]:
     return out, True
 
 
+def snapshot(source: str, folder: str, size: int | None = None) -> tuple[str, bool]:
+    """A copy in folder of the source as it is now (of its first size bytes), and whether it was cut. Raises where the source
+    ends early or grows meanwhile, so that nothing is measured on bytes that change."""
+    before = os.path.getsize(source)
+    cut = size is not None and before > size
+    out = os.path.join(folder, f"{uuid.uuid4().hex}.snapshot{os.path.splitext(source)[1]}")
+    try:
+        with open(source, "rb") as i, open(out, "wb") as o:
+            left = size if cut else before
+            while left and (piece := i.read(min(left, 4 * MIB))):
+                o.write(piece)
+                left -= len(piece)
+            if left or not cut and i.read(1):
+                raise MetadataError("the source changed while it was read")
+    except BaseException:
+        if os.path.exists(out):
+            os.remove(out)
+        raise
+    return out, cut
+
+
 def compare(spark: SparkSession, source: str, folder: str, runs: int = 3, chunk: int = CHUNK, max_input: int | None = None, mode: str = "quick", op: Operation = NONE) -> dict:
-    """Archive against one standalone zstd stream: runs in alternating order, medians, winners; folder holds scratch files that are removed."""
+    """Archive against one standalone zstd stream: runs in alternating order on a snapshot of the source, medians, winners;
+    folder, which driver and executors share, holds scratch files that are removed."""
     if not 1 <= runs <= 25 or mode not in ("quick", "full"):
         raise BadOption("runs are 1 to 25, mode is quick or full")
     took: dict = {"archive": [], "zstd": []}
     names = [os.path.join(folder, f"{uuid.uuid4().hex}.{k}") for k in ("archive", "zstd", "restored")]
-    measured, cut = prefix_of(source, folder, max_input if mode == "quick" else None)
+    measured, cut = snapshot(source, folder, max_input if mode == "quick" else None)
     try:
         sizes, made, want = {}, {}, _digest(measured)
         with op.phase("comparing", want[0] * runs) as advance:
@@ -551,7 +625,7 @@ def compare(spark: SparkSession, source: str, folder: str, runs: int = 3, chunk:
                     sizes[kind] = artifact[0]
                 advance(want[0])
     finally:
-        for name in [*names, *([measured] if cut else [])]:
+        for name in [*names, measured]:
             if os.path.exists(name):
                 os.remove(name)
     out = {k: {"bytes": sizes[k], "compress_seconds": statistics.median(t[0] for t in v), "decompress_seconds": statistics.median(t[1] for t in v)} for k, v in took.items()}

@@ -143,7 +143,9 @@ def test_progress_and_cancellation(spark, tmp_path):
     with pytest.raises(errors.Cancelled):
         verbs.compress(spark, source, str(tmp_path / "q"), chunk=1000, op=progress.Operation("compress", stop, token))
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.csv", "p"]
-    assert progress.Event("x", "y", "completed", 0, 0).percentage == 100 and progress.Event("x", "y", "started", 0, 0).percentage is None
+    empty, half = progress.Count(0, 0), progress.Count(5, 10)
+    assert progress.Event("x", "y", "completed", empty).percentage == 100 and progress.Event("x", "y", "started", empty).percentage is None
+    assert progress.Event("x", "y", "advanced", half).percentage == 50 and progress.Event("x", "y", "completed").percentage is None
 
 
 def test_benchmark(spark, tmp_path):
