@@ -53,6 +53,62 @@ def version_of(prefix: bytes) -> int:
     return struct.unpack("<H", prefix[5:7])[0]
 
 
+#: The layout of the optional analysis blocks, field by field; u and f take 64 bits, w 32, s is a text, c a character,
+#: e a variant number with its bound, [..] a list of records.
+BLOCKS = (
+    ("c", "e2", "b", "u", ["s", "u", "u", "u", "f", "e4"], ["s", "u", ["s"], ["w"]]),
+    ("u", "u", ["s", "u"], "s"),
+)
+
+
+def _past_blocks(raw: bytes, at: int) -> int:
+    """The offset behind the two optional analysis blocks; they describe the source and are only checked for form."""
+
+    def number(n: int) -> int:
+        nonlocal at
+        if at + n > len(raw):
+            raise InvalidArchive("metadata", "cut short")
+        at += n
+        return int.from_bytes(raw[at - n : at], "little")
+
+    def text(n: int) -> None:
+        nonlocal at
+        if at + n > len(raw):
+            raise InvalidArchive("metadata", "cut short")
+        try:
+            raw[at : at + n].decode()
+        except UnicodeDecodeError as e:
+            raise InvalidArchive("metadata", "text is not UTF-8") from e
+        at += n
+
+    def skip(fields) -> None:
+        for f in fields:
+            if isinstance(f, list):
+                for _ in range(number(8)):
+                    skip(f)
+            elif f[0] == "e":
+                if number(4) >= int(f[1:]):
+                    raise InvalidArchive("metadata", "unknown variant")
+            elif f == "b":
+                if number(1) > 1:
+                    raise InvalidArchive("metadata", "bad flag")
+            elif f == "c":
+                first = raw[at] if at < len(raw) else 0
+                text(1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0))
+            elif f == "s":
+                text(number(8))
+            else:
+                number(4 if f == "w" else 8)
+
+    for fields in BLOCKS:
+        present = number(1)
+        if present > 1:
+            raise InvalidArchive("metadata", "bad flag")
+        if present:
+            skip(fields)
+    return at
+
+
 def _metadata(raw: bytes, kind: str) -> tuple[int, str]:
     def take(form: str):
         nonlocal at
@@ -66,8 +122,7 @@ def _metadata(raw: bytes, kind: str) -> tuple[int, str]:
     version, tag, size, payload = take("<HIQI")
     if version != VERSION or tag >= len(FILE_TYPE_TAGS) or FILE_TYPE_TAGS[tag] != kind or payload >= len(PAYLOADS):
         raise InvalidArchive("metadata", "version, file type or payload kind")
-    if take("<BB") != (0, 0):
-        raise InvalidArchive("metadata", "embedded analysis blocks are not read")
+    at = _past_blocks(raw, at)
     for _ in range(take("<Q")[0]):
         at += take("<Q")[0]
         if take("<B")[0]:

@@ -178,3 +178,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("generate-test-data", "repetitive", str(tmp_path / "g.csv"), "--rows", "50", "--seed", "42") == 0
     assert run("generate-test-data", "none", str(tmp_path / "h.csv")) == 1 and run("generate-test-data", "random", str(tmp_path / "h.csv"), "--rows", "0") == 3
     assert run("analyze", put(tmp_path, b"", "e.csv")) == 2 and run("analyze", str(tmp_path / "missing.csv")) == 1
+
+
+def test_version_1_with_analysis_blocks(spark, tmp_path):
+    import struct
+
+    data = CSV
+    text = lambda x: struct.pack("<Q", len(x.encode())) + x.encode()
+    column = text("Größe") + struct.pack("<QQQdI", 9, 3, 6, 1.5, 3)
+    preview = text("x") + struct.pack("<QQ", 2, 2) + text("a") + text("é") + struct.pack("<QIII", 3, 0, 1, 0)
+    csv = b"," + struct.pack("<IBQ", 1, 1, 9) + struct.pack("<Q", 2) + column * 2 + struct.pack("<Q", 1) + preview
+    txt = struct.pack("<QQQ", 5, 1, 1) + text("one two three") + struct.pack("<Q", 2) + text("note")
+    packed = archive_v1.pack_raw(data, "csv")
+    head = archive_v1.FIXED
+    length = struct.unpack("<Q", packed[head - 8 : head])[0]
+    meta, payload = packed[head : head + length], packed[head + length :]
+    assert meta[18:20] == b"\0\0"
+    for blocks, good in ((b"\1" + csv + b"\1" + txt, True), (b"\1" + csv + b"\0", True), (b"\0\1" + txt, True), (b"\1" + csv[:-3] + b"\0", False), (b"\2\0", False), (b"\1" + csv.replace(b"\xc3\xa9", b"\xff\xff") + b"\0", False)):
+        full = meta[:18] + blocks + meta[20:]
+        whole = packed[: head - 8] + struct.pack("<Q", len(full)) + full + payload
+        source, back = put(tmp_path, whole, "blocks"), str(tmp_path / "back")
+        if good:
+            verbs.decompress(spark, source, back, overwrite=True)
+            assert open(back, "rb").read() == data
+        else:
+            with pytest.raises(Exception):
+                verbs.decompress(spark, source, back, overwrite=True)
