@@ -11,7 +11,8 @@ step is one distributed pass that sums 2 K + 1 numbers; documents of equal poste
 over the different posteriors with their tokens summed (as many as the grid has points, at most). A rate follows from the
 steps' gradients alone, so no state is kept between passes and a lost task is simply run again. Steps end when every
 domain's total is within TOLERANCE of its target, or when rates stand still: then the targets can't all be met with rates
-in 0..most and the rates are the least-squares compromise. max_gap tells how far the farthest domain is from its target.
+in 0..most and the rates are the least-squares compromise. max_gap tells how far the farthest domain is from its target. What no document belongs to can't be mixed in: the weight of a
+domain without labelled rows is shared out among the others.
 
 Targets are weights of the domains in the mix, of any sum, and a budget: a number of tokens, or without one as many as
 leave the domain `anchor` its own total.
@@ -46,6 +47,8 @@ STEPS = 120
 TOLERANCE = 1e-3
 STILL = 1e-4
 RIDGE = 1e-4
+#: Score of a domain without labelled rows: no document belongs to it, and its weight counts for nothing.
+NEVER = -1e6
 SLOT_CACHE = 1 << 18
 _SLOTS: dict[str, int] = {}
 
@@ -147,7 +150,9 @@ def train_domains(spark: SparkSession, docs: DataFrame, labels: DataFrame, label
     x = np.zeros((len(known_rows), DIM + 4), np.float32)
     for row, (_, at, v) in zip(x, known_rows):
         row[np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
-    return fit(x, np.array([y for y, *_ in known_rows]), len(domains))
+    w = fit(x, np.array([y for y, *_ in known_rows]), len(domains))
+    w[DIM, [k for k in range(len(domains)) if k not in {y for y, *_ in known_rows}]] = NEVER  # by the constant feature
+    return w
 
 
 def score(spark: SparkSession, docs: DataFrame, weights: np.ndarray | None, k: int) -> DataFrame:
@@ -190,21 +195,21 @@ def fit_rates(scored: DataFrame, weights=WEIGHTS, budget: float | None = None, a
             for batch in batches:
                 p = batch.column(0).flatten().to_numpy().reshape(-1, k) / GRID
                 total += one(batch.column(1).to_numpy().astype(float), p)
-            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], names=["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
 
-        got = cells.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # size rows
-        return np.array([r.v for r in sorted(got, key=lambda r: r.i)]) if got else np.zeros(size)
+        names = [f"s{i}" for i in range(size)]
+        got = cells.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n) for n in names)).first()  # a row a task
+        return np.array([x or 0.0 for x in got])
 
     gram = summed(k * k, lambda t, p: ((p.T * t) @ p).ravel()).reshape(k, k)
     own = gram.sum(1)
     total = own.sum()
-    share = np.array(weights, float) / sum(weights)
+    live = own > 0
+    share = np.where(live, weights, 0.0) / max(sum(w for w, on in zip(weights, live) if on), 1e-300)
     if budget is None:
-        budget = own[anchor] / share[anchor]
+        budget = own[anchor] / share[anchor] if share[anchor] else total
     target = share * budget
     grads, reached = np.zeros((0, k)), own
-    # what no document belongs to can't be mixed in
-    live = own > 0
     inverse = np.linalg.pinv(gram / total, rcond=1e-9, hermitian=True) if total else gram
     gap = lambda: float(np.max(np.abs(reached - target)[live] / np.maximum(target, 1e-6 * total)[live], initial=0.0)) if total else 0.0
     for _ in range(steps if total else 0):
