@@ -230,4 +230,4 @@ def _count(kind: int) -> Column:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark, table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("all")).alias("spans"))
+    return found.select("doc_id", *(_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
