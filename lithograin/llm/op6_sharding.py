@@ -7,8 +7,8 @@ a = ceil(sqrt(n)), b = ceil(n/a); images outside 0..n-1 walk the cycle on. Fewer
 walk of WALK steps falls short with probability below n**(-WALK/2); a row that did would raise, not go wrong.
 
 Row numbers: equal (doc_id, size, crc) rows are first counted (so repeated rows never meet in one task), groups fall
-into hash ranges, ranges get offsets by a prefix sum of at most RANGES rows, groups are numbered inside each range and written out in
-blocks of at most BLOCK rows.
+into hash ranges (RANGES, or one to RANGE_ROWS rows of a larger table), ranges get offsets by a prefix sum of a row each, groups
+are numbered inside each range and written out in blocks of at most BLOCK rows.
 
 Defined results: null text has size 16 and crc32 0; null doc_id sorts first; repeated rows get numbers of their own;
 no rows give no rows; further columns are ignored.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 SHARDS = 40
-RANGES = 4096
+RANGES, RANGE_ROWS = 4096, 1 << 20
 BLOCK = 4096
 ROUNDS = 6
 WALK = 64
@@ -59,14 +59,16 @@ def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"))
-    groups = stash(rows.groupBy("doc_id", "size", "crc").agg(F.count("*").alias("n")).withColumn("range", F.pmod(F.xxhash64("doc_id", "size", "crc"), F.lit(RANGES)).cast("int")), "shard-groups")
-    per_range = groups.groupBy("range").agg(F.sum("n").alias("rows")).orderBy("range").collect()  # at most RANGES rows
+    groups = stash(rows.groupBy("doc_id", "size", "crc").agg(F.count("*").alias("n")), "shard-groups")
+    ranges = max(RANGES, groups.count() // RANGE_ROWS)
+    groups = groups.withColumn("range", F.pmod(F.xxhash64("doc_id", "size", "crc"), F.lit(ranges)).cast("int"))
+    per_range = groups.groupBy("range").agg(F.sum("n").alias("rows")).orderBy("range").collect()  # at most `ranges` rows
     start, offsets = 0, []
     for r in per_range:
         offsets.append((r["range"], start))
         start += r["rows"]
     total = start
-    base = F.broadcast(spark.createDataFrame(offsets, "range int, base long"))  # at most RANGES rows
+    base = F.broadcast(spark.createDataFrame(offsets, "range int, base long"))  # a row to RANGE_ROWS rows, RANGES at least
     inside = Window.partitionBy("range").orderBy("doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = groups.withColumn("last", F.sum("n").over(inside)).join(base, "range").withColumn("first", F.col("base") + F.col("last") - F.col("n"))
     # a group of many equal rows is cut into blocks, which other tasks write out
