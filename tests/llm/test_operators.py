@@ -467,16 +467,90 @@ def test_op10_against_brute_force(spark):
     assert got == want and any(len(want[i]) < len(re.sub("</?p>", " ", h).strip()) - 20 for i, _, h in pages if i < 1000)
 
 
+def test_null_and_shared_ids(spark):
+    """Rows without a doc_id, and different texts under one, by the rules of each docstring."""
+    from pyspark.sql import functions as F
+
+    own = random.Random(12)
+    line = lambda n: " ".join("".join(own.choice("abcdefgh") for _ in range(own.randint(3, 7))) for _ in range(n))
+    base, other, third = line(60), line(60), line(60)
+    data = [(None, base), (4, base), (7, base), (None, other), (None, other), (5, other + " " + third), (5, third + " tail"), (9, None), (None, None), (None, "call +1 (555) 123-4567")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    by_text = lambda rows, value: sorted(((r.doc_id, value(r)) for r in rows), key=str)
+
+    got = op1_jaccard.jaccard_join(spark, docs).collect()
+    assert by_text(got, lambda r: (r.n_shingles, r.component_id)) == sorted(
+        [(None, (56, 4)), (4, (56, 4)), (7, (56, 4)), (None, (56, None)), (None, (56, None)), (5, (116, 5)), (5, (57, 5)), (9, (0, 9)), (None, (0, None)), (None, (1, None))], key=str
+    )
+    got = op9_exact_dedup.exact_dedup(spark, docs).collect()
+    assert by_text(got, lambda r: (r.keep_id, r.group_size, r.kept)) == sorted(
+        [(None, (4, 3, False)), (4, (4, 3, True)), (7, (4, 3, False)), (None, (None, 2, True)), (None, (None, 2, True)), (5, (5, 1, True)), (5, (5, 1, True)), (9, (9, 2, True)), (None, (9, 2, False)), (None, (None, 1, True))], key=str
+    )
+    n = lambda t: len((t or "").encode())
+    documents, cut = op8_suffix_dedup.suffix_dedup(spark, docs)
+    removed = {(r.doc_id, r.tid): r.n_removed for r in cut.collect()}
+    rows_ = documents.withColumn("null_id", F.col("doc_id") == op8_suffix_dedup.LEAST).collect()
+    kept = sorted((None if r.null_id else r.doc_id, r.n_bytes, r.n_bytes if r.doc_id > r.rep_id and r.n_bytes >= 50 else removed.get((r.doc_id, r.tid), 0)) for r in rows_ if not r.null_id)
+    # the null doc_id is the smallest: both copies of base go; other goes from the longer text, which ends before the blank
+    assert kept == sorted([(4, n(base), n(base)), (7, n(base), n(base)), (5, n(other + third) + 1, n(other)), (5, n(third) + 5, 0), (9, 0, 0)])
+    assert all(r.rep_id == r.doc_id or r.n_bytes < 50 for r in rows_ if r.null_id)
+    got = op3_substring_dedup.substring_dedup(spark, docs).collect()
+    lost = {(r.doc_id, len(r.kept_text.split())) for r in got}
+    assert {(None, 60), (4, 0), (7, 0), (9, 0), (None, 0), (None, 4)} <= lost and all(r.n_removed == 0 for r in got if r.doc_id is None)
+    got = op5_pii.find_pii(spark, docs).collect()
+    assert len(got) == len(data) and [len(r.base) for r in got if r.base] == [1]
+
+
+def test_op5_estimates_reliabilities():
+    """Votes drawn from known reliabilities: the share, each labeler's rates and the classifier's verdicts come back."""
+    import numpy as np
+
+    own = np.random.RandomState(1)
+    truth = own.rand(20_000) < 0.3
+    hit, miss = (0.9, 0.8, 0.75, 0.85, 0.7, 0.6), (0.05, 0.1, 0.2, 0.1, 0.15, 0.1)
+    votes = np.where(truth[:, None], own.rand(20_000, 6) < hit, own.rand(20_000, 6) < miss)
+    keys = ["".join("1" if v else "0" for v in row) for row in votes]
+    patterns: dict = {}
+    for k in keys:
+        patterns[k] = patterns.get(k, 0) + 1
+    theta, prior = op5_pii.estimate(patterns)
+    assert abs(prior - 0.3) < 0.02
+    assert all(abs(theta[j, 1, 1] - hit[j]) < 0.04 and abs(theta[j, 1, 0] - miss[j]) < 0.03 for j in range(6))
+    weights = op5_pii.train({k + "b1": n for k, n in patterns.items()})
+    score = {k: weights["bias"] + sum(weights[c] for c in op5_pii._columns(k + "b1")) for k in patterns}
+    right = sum((score[k] > 0) == bool(t) for k, t in zip(keys, truth)) / len(keys)
+    assert right > 0.95
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(i, 0, 0) for i in range(10, 14)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    rows_ = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    out = {r.doc_id for r in rows_}
     assert out and len(out) < len(TEXT)
-    assert not {d for d in out if len(re.findall(r"[^\x20\x09-\x0D]+", TEXT[d] or "")) < 20}
+    # the first three stages by their SQL, the fourth by its rates, the last by the public tokenizer
+    import pandas as pd
+    import tiktoken
     from pyspark.sql import functions as F
 
+    left = {d: t for d, t in TEXT.items()}
+    for sql, stays in ((op2_quality.ORACLE_SQL, lambda r: r["kept"]), (op9_exact_dedup.ORACLE_SQL, lambda r: r["kept"]), (op1_jaccard.ORACLE_SQL, lambda r: r["doc_id"] == r["component_id"])):
+        c = duckdb.connect()
+        c.register("d", pd.DataFrame({"doc_id": list(left), "text": list(left.values())}))
+        c.sql("CREATE TABLE documents AS SELECT doc_id, text::VARCHAR AS text FROM d")
+        got = c.sql(sql)
+        ids = {r["doc_id"] for r in (dict(zip(got.columns, x)) for x in got.fetchall()) if stays(r)}
+        left = {d: t for d, t in left.items() if d in ids}
+    rest = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    rated = op7_mixing.mix(spark, rest, spark.read.parquet(str(tmp_path / "labels.parquet")), weights=corpus_pipeline.WEIGHTS, most=corpus_pipeline.MOST)
+    assert out == {r.doc_id for r in rated.filter(op7_mixing.copies(F.col("rate"), F.col("row_key")) >= 1).collect()}
+    ranks, pattern = op4_bpe.default_vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for r in rows_:
+        ids = enc.encode_ordinary(TEXT[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(TEXT[r.doc_id].encode()).hexdigest()
     clash = docs.select("*", *(F.lit(1).alias(c) for c in ("_keep", "Keep", "keep_", "rate", "copies", "row_key", "comp", "tokens", "kept", "_row")))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, clash, str(tmp_path))
