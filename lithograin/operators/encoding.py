@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dictionary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(code, value): codes in order of first occurrence; one aggregate, then numbering over distinct values only."""
-    first = df.groupBy(F.col(value).alias("value")).agg(F.min(F.struct(*keys)).alias("first"))
-    return first.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("code"), "value")
+#: No dictionary may hold more values; a column that does is refused.
+MAX_VALUES = 65_535
+
+
+def dictionary(df: DataFrame, value: str, keys: list[str], most: int = MAX_VALUES) -> DataFrame:
+    """(code, value): codes in order of first occurrence; one aggregate, then numbering over distinct values only, of which
+    the task that numbers takes most + 1; a column with more than most raises."""
+    first = df.groupBy(F.col(value).alias("value")).agg(F.min(F.struct(*keys)).alias("first")).orderBy("first").limit(most + 1)
+    code = (F.row_number().over(Window.orderBy("first")) - 1).cast("long")
+    return first.select(F.when(code < most, code).otherwise(F.raise_error(F.lit(f"the column has more than {most} values")).cast("long")).alias("code"), "value")
 
 
 def encode(df: DataFrame, value: str, keys: list[str], codes: DataFrame) -> DataFrame:
