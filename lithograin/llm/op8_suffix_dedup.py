@@ -70,3 +70,21 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+#: Every window of 50 bytes, its first document, and the runs of bytes that windows of earlier documents cover.
+ORACLE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS MATERIALIZED (SELECT doc_id, 1000 * k AS lo, substr(x, 2000 * k + 1, 2098) AS x FROM (SELECT doc_id, x, unnest(range(0, (n + 999) // 1000)) AS k FROM d)),
+w AS MATERIALIZED (SELECT doc_id, lo + j AS i, substr(x, 2 * j - 1, 100) AS s FROM (SELECT doc_id, lo, x, unnest(range(1, greatest(1, length(x) // 2 - 48))) AS j FROM p)),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first_id < doc_id),
+mark AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k, i FROM mark),
+span AS (SELECT doc_id, k, min(i) AS lo, max(i) + 49 AS hi FROM run GROUP BY doc_id, k),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo + 1) AS n_removed, list({'lo': lo, 'hi': hi} ORDER BY lo) AS spans FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, n, n_removed, n_spans, CASE WHEN spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(spans) + 1),
+    lambda j: substr(x, CASE WHEN j = 0 THEN 1 ELSE 2 * spans[j].hi + 1 END, 2 * (CASE WHEN j = len(spans) THEN n ELSE spans[j + 1].lo - 1 END - CASE WHEN j = 0 THEN 0 ELSE spans[j].hi END))), '') END AS h
+  FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(from_hex(h)) AS kept_sha256 FROM kept
+"""

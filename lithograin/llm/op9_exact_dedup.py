@@ -188,11 +188,11 @@ def build(spark: SparkSession, texts: DataFrame, members: DataFrame, bucket_rows
 
     def count(bits: int, directory: Directory, buckets: list[int]) -> dict[int, int]:
         within = distinct
-        if directory.depth:  # 2**AHEAD prefixes a bucket at most
-            lows = [(directory.prefix[b] << (64 - directory.local[b]), ((directory.prefix[b] + 1) << (64 - directory.local[b])) - 1) for b in buckets]
-            signed = lambda x: x - (1 << 64) if x >> 63 else x
-            ranges = spark.createDataFrame([(signed(a), signed(b)) for a, b in lows], "lo long, hi long")
-            within = distinct.join(F.broadcast(ranges), F.col("h").between(F.col("lo"), F.col("hi"))).select("h")
+        if directory.depth:
+            wanted = set(buckets)
+            slots = spark.createDataFrame([(i,) for i, b in enumerate(directory.slots.tolist()) if b in wanted], "slot long")
+            placed = distinct.withColumn("slot", F.shiftrightunsigned("h", 64 - directory.depth))
+            within = placed.join(F.broadcast(slots) if len(directory.slots) <= BROADCAST_SLOTS else slots, "slot", "left_semi").select("h")
         got = within.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("p") if bits < 64 else F.col("h").alias("p")).agg(F.count("*").alias("n")).collect()
         return {r.p % (1 << 64): r.n for r in got}  # about 2**AHEAD prefixes a bucket of the directory
 

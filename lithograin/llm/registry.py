@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_ngram_jaccard": op1_jaccard.ORACLE_SQL,
     "op2_quality_rules": op2_quality.ORACLE_SQL,
+    "op8_suffix_dedup": op8_suffix_dedup.ORACLE_SQL,
     "op9_exact_dedup": op9_exact_dedup.ORACLE_SQL,
 }
