@@ -362,7 +362,7 @@ def compress_v1(
     except BadInput:
         notes.append("STRUCTURED_ANALYSIS_UNAVAILABLE")
         both = False
-    packed = None
+    packed = saved = None
     if both or chosen == "csv_columnar_dictionary":
         with op.phase("reading_input", total), open(source, "rb") as f:
             data = f.read()
@@ -372,8 +372,10 @@ def compress_v1(
                 notes.append("STRUCTURED_ENCODER_FALLBACK")
             else:
                 packed = archive_v1.pack_payload(payload, kind, len(data))
-                if both and len(archive_v1.pack_raw(data, kind)) <= len(packed):
-                    packed = None
+                if both:
+                    other = len(archive_v1.pack_raw(data, kind))
+                    saved = abs(other - len(packed))
+                    packed = None if other <= len(packed) else packed
     with _output(target, overwrite, source, keep_partial=keep_partial) as f:
         with op.phase("writing_archive", total) as advance:
             if packed is not None:
@@ -386,7 +388,7 @@ def compress_v1(
     op.emit("finalizing", "completed", total, total)
     return {
         "schema_version": SCHEMA_VERSION, "report_type": "compression", "archive_version": 1, "selected_mode": "raw_zstd" if packed is None else "csv_columnar_dictionary", "source_bytes": total,
-        "archive_bytes": size, "ratio": total / size, "seconds": time.perf_counter() - began, "diagnostics": notes,
+        "archive_bytes": size, "saved_against_other": saved, "ratio": total / size, "seconds": time.perf_counter() - began, "diagnostics": notes,
     }
 
 

@@ -2,7 +2,10 @@
 
 from collections import Counter
 
+import pytest
+
 from lithograin import catalog
+from lithograin.sources import delimited
 
 NAMES = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}
 TEXTS = [
@@ -72,3 +75,27 @@ def test_all_documents(spark, tmp_path):
     whole = {doc for doc in text if all(lex(text[doc], d) is not None for d in NAMES)}
     assert {doc: o for doc, o in found.items() if doc in whole} == {doc: o for doc, o in outcome.items() if doc in whole}
     assert {doc for doc in text if '"' in text[doc]} & set(outcome) <= set(found) and found[-6] == ("malformed", None)
+
+
+def test_framer_cuts_as_the_scan_does():
+    """Records of random texts, fed in pieces of random sizes, down to single bytes."""
+    import random
+
+    own = random.Random(4)
+    good = broken = 0
+    for turn in range(3000):
+        data = "".join(own.choice(['"', '"', ",", ";", "\n", "\r\n", "\r" if turn % 7 == 0 else "x", "a", "bc", '""', "é"]) for _ in range(own.randint(0, 14))).encode()
+        cuts = sorted(own.randint(0, len(data)) for _ in range(own.randint(0, 5)))
+        pieces = [data[i : i + 1] for i in range(len(data))] if turn % 3 == 0 else [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        try:
+            want = [b",".join(fields) + newline for fields, newline in delimited.scan(data)]
+        except delimited.Malformed as e:
+            with pytest.raises(delimited.Malformed, match=str(e)):
+                list(delimited.frame(iter(pieces)))
+            broken += 1
+            continue
+        assert list(delimited.frame(iter(pieces))) == want, (data, pieces)
+        good += 1
+    assert good > 500 and broken > 500
+    with pytest.raises(delimited.Malformed, match="too long"):
+        list(delimited.frame(iter([b"a" * 10] * 3), max_record=20))
