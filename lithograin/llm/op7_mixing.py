@@ -208,7 +208,7 @@ def fit_rates(scored: DataFrame, weights=WEIGHTS, budget: float | None = None, a
     share = np.where(live, weights, 0.0) / max(sum(w for w, on in zip(weights, live) if on), 1e-300)
     if budget is None:
         budget = own[anchor] / share[anchor] if share[anchor] else total
-    target = share * budget
+    target = np.minimum(share * budget, most * own) if np.isfinite(most) else share * budget  # what there is, at most
     grads, reached = np.zeros((0, k)), own
     inverse = np.linalg.pinv(gram / total, rcond=1e-9, hermitian=True) if total else gram
     gap = lambda: float(np.max(np.abs(reached - target)[live] / np.maximum(target, 1e-6 * total)[live], initial=0.0)) if total else 0.0
