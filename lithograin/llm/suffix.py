@@ -5,13 +5,14 @@
    packed by key block; a block's owner answers each text bucket with the keys that more than one posting has.
 2. Fragments. Buckets (keyed by text hash, so equal texts meet and only the smallest doc_id goes on) send the bytes
    of fragments with repeated keys to the key's owner.
-3. Suffix array. An owner keeps each different fragment once and sorts its suffixes in two stages: only suffixes
-   smaller than their successors are sorted directly, the others are induced by scans over the character buckets.
-   Neighbours with a common prefix of WINDOW bytes form groups; every occurrence in a document other than the
-   group's first is marked.
+3. Suffix array. An owner takes its fragments in shares of at most SHARE bytes, dealt by their keys, since how many
+   bytes it gets depends on how much of the corpus repeats. Of a share it keeps each different fragment once and sorts
+   its suffixes in two stages: only suffixes smaller than their successors are sorted directly, the others are induced
+   by scans over the character buckets. Neighbours with a common prefix of WINDOW bytes form groups; every occurrence
+   in a document other than the group's first is marked.
 
 Work and traffic follow the input; owners and buckets follow spark.sql.shuffle.partitions (two to a partition where
-one task holds its whole share in memory). Equal texts collapse per
+one task holds its whole part of the input in memory). Equal texts collapse per
 batch before any shuffle, and a key that many documents share posts at most two entries per batch and bucket.
 """
 
@@ -27,6 +28,10 @@ from .common import mix64, parts, release, stash, trim, unstash
 
 GRAM = 16
 CHUNK = 1 << 20
+#: Bytes of fragments that an owner sorts at once; sorting takes about 30 bytes of memory for each.
+SHARE = 6 << 20
+#: Orders of grams by which a share that is still too large is dealt anew, before it is dealt by whole strings.
+ORDERS = 3
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = [np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -311,19 +316,78 @@ def two_stage(data: np.ndarray, first: np.ndarray, length: np.ndarray, depth: in
     return result[inside[result]]
 
 
+def _load(rows: list[tuple]):
+    """Packed rows (docs, tids, starts, lens, data) -> their arrays and bytes end to end."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    docs, tids, starts, lens, data = ([unpack(row[i]) for row in rows] for i in range(5))
+    docs, tids, starts = (np.frombuffer(b"".join(x), np.int64) for x in (docs, tids, starts))
+    return docs, tids, starts, np.frombuffer(b"".join(lens), np.int32).astype(np.int64), b"".join(data)
+
+
+def _strings(buf: np.ndarray, ends: np.ndarray, window: int):
+    """As runs, but keyed by the whole string: only strings that are equal share a key."""
+    n = max(0, len(buf) - window + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(window):
+        h = h * _STEP[0] + _BYTE[buf[k : k + n]]
+    begins = np.concatenate([[0], ends[:-1]])
+    length = ends - begins - window + 1
+    at, owner = _ragged(begins, length), np.repeat(np.arange(len(ends)), length)
+    new = np.ones(len(at), bool)
+    new[1:] = (h[at[1:]] != h[at[:-1]]) | (owner[1:] != owner[:-1])
+    cut = np.flatnonzero(new)
+    return owner[cut], at[cut], np.diff(np.append(cut, len(at))), mix64(h[at[cut]])
+
+
+def _shares(rows: list[tuple], window: int, order: int = 0):
+    """An owner's packed rows -> lists of rows of at most SHARE bytes; equal strings are in one list.
+
+    Fragments are dealt by the key they came by. Shares that are too large because of one key are cut into fragments anew,
+    by another order of grams each time and by whole strings at last. rows is emptied.
+    """
+    total = sum(row[5] for row in rows)
+    if total <= SHARE or order > ORDERS:
+        yield rows
+        return
+    pack = zstandard.ZstdCompressor(level=1).compress
+    shares: list[list[tuple]] = [[] for _ in range(-(-2 * total // SHARE))]
+    while rows:
+        some, size = [], 0
+        while rows and size < CHUNK:
+            some.append(rows.pop())
+            size += some[-1][5]
+        docs, tids, starts, lens, data = _load(some)
+        buf, ends = np.frombuffer(data, np.uint8), np.cumsum(lens + window - 1)
+        owner, first, length, key = _strings(buf, ends, window) if order == ORDERS else runs(buf, ends, np.full(len(ends), order), window)
+        begins = first - np.concatenate([[0], ends[:-1]])[owner] + starts[owner]
+        share = (key % np.uint64(len(shares))).astype(np.int64)
+        by = np.argsort(share, kind="stable")
+        cut = np.append(np.flatnonzero(np.diff(share[by], prepend=-1)), len(by))
+        for a, b in zip(cut, cut[1:]):
+            at = by[a:b]
+            size = length[at] + window - 1
+            parts_ = docs[owner[at]], tids[owner[at]], begins[at], length[at].astype(np.int32), buf[_ragged(first[at], size)]
+            shares[share[at[0]]].append((*(pack(x.tobytes()) for x in parts_), int(size.sum())))
+    shares.reverse()
+    while shares:
+        if mine := shares.pop():
+            yield from _shares(mine, window, order + 1)
+
+
 def _mark(window: int, everywhere: bool):
     """An owner's fragments -> (doc_id, tid, lo, hi): bytes covered by repeated strings. everywhere: the first document's too."""
 
     def run(batches):
         trim()
-        unzip = zstandard.ZstdDecompressor()
-        got = [[unzip.decompress(x) for x in (row["docs"], row["tids"], row["starts"], row["lens"], row["data"])] for batch in batches for row in batch.to_pylist()]
-        if not got:
-            return
-        docs, tids, starts = (np.concatenate([np.frombuffer(g[i], np.int64) for g in got]) for i in range(3))
-        lens = np.concatenate([np.frombuffer(g[3], np.int32) for g in got]).astype(np.int64)
-        raw = b"".join(g[4] for g in got)
-        got.clear()
+        size = lambda lens: len(x := np.frombuffer(zstandard.ZstdDecompressor().decompress(lens), np.int32)) * (window - 1) + int(x.sum(dtype=np.int64))
+        rows = [(row["docs"], row["tids"], row["starts"], row["lens"], row["data"], size(row["lens"])) for batch in batches for row in batch.to_pylist()]
+        for share in _shares(rows, window):
+            if share:
+                yield from mark(share)
+
+    def mark(rows):
+        docs, tids, starts, lens, raw = _load(rows)
+        rows.clear()
         ends = np.cumsum(lens + window - 1)
         # each different fragment once
         index: dict[bytes, int] = {}
@@ -356,7 +420,7 @@ def _mark(window: int, everywhere: bool):
         np.maximum.at(high, group, most[frag])
         lo_at = np.full(len(data), np.iinfo(np.int64).max)
         lo_at[sa] = np.where(high > low, low, np.iinfo(np.int64).max)[group]
-        step = max(1, (1 << 22) // max(1, int(lens.mean())))
+        step = max(1, CHUNK // max(1, int(lens.mean())))
         for a in range(0, len(docs), step):
             n = lens[a : a + step]
             at = _ragged(first[which[a : a + step]], n)
