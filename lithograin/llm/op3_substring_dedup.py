@@ -33,8 +33,12 @@ MIN_WORDS = 24
 FEW = 8
 WINDOW = 7
 LEAST = -(2**63)
+#: Characters of texts that are cut and hashed in one go.
+GROUP = 1 << 20
 _END = re.compile(r"[.!?…。！？][\"')\]]*\Z")
 _WORD = re.compile(r"\S+")
+#: White space as str.split has it, up to the last such character and one more.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
 #: An odd factor, so that its powers have inverses modulo 2**64.
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -61,65 +65,82 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def _ends(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, and the numbers of words before each unit end: of those that the words decide, of all, and of the
-    ends of sentences and lines."""
-    words, lines = [], []
-    for line in text.lower().split("\n"):
-        words += line.split()
-        lines.append(len(words))
+def _groups(texts: list[str]):
+    """Ranges of texts of GROUP characters or a little more, to be laid end to end: short texts share the cost of a call."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _ends(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end: word hashes; the words before each bound of units, 0 first; which bounds the words
+    decide, and at which a sentence or line ends; the number of the first unit of each text, and of all units."""
+    words, lines, tops = [], [], [0]
+    for text in texts:
+        for line in text.lower().split("\n"):
+            words += line.split()
+            lines.append(len(words))
+        tops.append(len(words))
     n = len(words)
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     own = np.zeros(n + 1, bool)
     own[1:] = h & np.uint64(1)
     sentence = own.copy()
+    sentence[lines] = sentence[0] = True
     if n >= WINDOW:
-        order = np.where(own[:0:-1], np.uint64(0), h[::-1])  # from the end, so that the last of equal words is taken
-        least = np.lib.stride_tricks.sliding_window_view(order, WINDOW).argmin(1)
-        own[n - np.arange(n - WINDOW + 1) - least] = True
-    every = own.copy()
-    every[lines] = sentence[lines] = True
-    every[0] = sentence[0] = False
-    return h, np.flatnonzero(own), np.flatnonzero(every), np.flatnonzero(sentence)
+        least, at, width = np.where(own[1:], np.uint64(0), h), np.zeros(n, np.int8), 1
+        while width < WINDOW:  # the least of width words, the last of equal ones, and how far behind the first it is
+            step = min(width, WINDOW - width)
+            later = least[step:] <= least[:-step]
+            at = np.where(later, at[step:] + np.int8(step), at[:-step])
+            least = np.minimum(least[step:], least[:-step])
+            width += step
+        whole = np.ones(len(at), bool)  # windows lie within one text
+        across = (np.array(tops)[:, None] - np.arange(1, WINDOW)).ravel()
+        whole[across[(across >= 0) & (across < len(whole))]] = False
+        own[(np.arange(1, len(at) + 1) + at)[whole]] = True
+    bounds = np.flatnonzero(own | sentence)
+    return h, bounds, own[bounds], sentence[bounds], np.searchsorted(bounds, tops)
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of the units."""
-    words, at, out = [m.span() for m in _WORD.finditer(text)], 0, []
-    for end in _ends(text)[2].tolist():
-        out.append((words[at][0], words[end - 1][1], end - at))
-        at = end
-    return out
-
-
-def _spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First unit, units and hash of every sliding span, as columns."""
-    h, own, every, sentence = _ends(text)
-    bounds = np.r_[0, every]
-    first = np.arange(len(every))
+    words, bounds = [m.span() for m in _WORD.finditer(text)], _ends([text])[1].tolist()
+    return [(words[a][0], words[b - 1][1], b - a) for a, b in zip(bounds, bounds[1:])]
+
+
+def _spans(h: np.ndarray, bounds: np.ndarray, own: np.ndarray, sentence: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, the unit behind the last and hash of every sliding span of texts cut by _ends, as columns."""
+    top = np.repeat(tops[1:], np.diff(tops))
+    first = np.arange(len(top))
     near = np.maximum(np.searchsorted(bounds, bounds[:-1] + MIN_WORDS), first + SPAN)
-    far = np.searchsorted(own, bounds[np.minimum(near, len(every))])
-    far = np.where(far < len(own), np.searchsorted(bounds, np.r_[own, 0][far]), near)
+    far = np.minimum.accumulate(np.where(own, np.arange(len(own)), len(own))[::-1])[::-1][np.minimum(near, len(top))]
     last = np.stack([near, far], 1)
-    keep = last <= len(every)
+    keep = last <= top[:, None]
     keep[:, 1] &= (near != far) & keep[:, 0]  # a run that cannot grow to MIN_WORDS is none
     there = np.where(keep, last, -1)
     first, last = np.broadcast_to(first[:, None], last.shape)[keep], last[keep]
-    if len(sentence) >= SPAN:
-        start, end = np.r_[0, sentence][:-SPAN], sentence[SPAN - 1 :]
-        fit = end - start >= FEW
-        start, end = np.searchsorted(bounds, start[fit]), np.searchsorted(bounds, end[fit])
-        fresh = (there[start] != end[:, None]).all(1)
-        first, last = np.r_[first, start[fresh]], np.r_[last, end[fresh]]
+    stops = np.flatnonzero(sentence)
+    start, end = stops[:-SPAN], stops[SPAN:]
+    fit = (end <= top[start]) & (bounds[end] - bounds[start] >= FEW)
+    start, end = start[fit], end[fit]
+    fresh = (there[start] != end[:, None]).all(1)
+    first, last = np.r_[first, start[fresh]], np.r_[last, end[fresh]]
     power, inverse = _powers(len(h) + 1)
     total = np.r_[np.uint64(0), np.cumsum(h * power[: len(h)], dtype=np.uint64)]
     lo, hi = bounds[first], bounds[last]
-    return first, last - first, mix64((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
+    return first, last, mix64((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
 
 
 def spans(text: str):
     """(first unit, units, hash) of every sliding span."""
-    yield from zip(*(c.tolist() for c in _spans(text)))
+    first, last, h = _spans(*_ends([text]))
+    yield from zip(first.tolist(), (last - first).tolist(), h.tolist())
 
 
 def _hash(batches):
@@ -129,39 +150,60 @@ def _hash(batches):
         for doc, tid, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if (tid, text) not in best or doc < best[(tid, text)]:
                 best[(tid, text)] = doc
-        out, size = [], 0
-        for (tid, text), doc in best.items():
-            first, n, h = _spans(text)
-            if len(h):
-                out.append((h, np.full(len(h), doc), np.full(len(h), tid), first.astype(np.int32), n.astype(np.int32)))
-                size += len(h)
-            if size > 1 << 19:
-                yield _batch(out)
-                out, size = [], 0
-        if out:
-            yield _batch(out)
-
-
-def _batch(out) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "doc_id", "tid", "first", "n"])
-
-
-def _cut(batches):
-    for batch in batches:
-        out = {k: [] for k in ("doc_id", "tid", "n_units", "n_removed", "removed", "kept_text")}
-        for doc, tid, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            gone = set()
-            for r in ranges or ():
-                gone.update(range(r["first"], r["first"] + r["n"]))
-            cut = units(text) if gone else _ends(text)[2]
-            kept, at = [], 0
-            for i in sorted(gone):
-                kept.append(text[at : cut[i][0]])
-                at = cut[i][1]
-            kept.append(text[at:])
-            for k, v in zip(out, (doc, tid, len(cut), len(gone), sorted(gone), "".join(kept))):
-                out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept_text", pa.string())]))
+        texts, ids = [text for _, text in best], np.array([(doc, tid) for (tid, _), doc in best.items()], np.int64).reshape(-1, 2)
+        for a, b in _groups(texts):
+            cut = _ends(texts[a:b])
+            first, last, h = _spans(*cut)
+            tops = cut[-1]
+            of = np.repeat(np.arange(b - a), np.diff(tops))[first]
+            doc, tid = ids[a:b][of].T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (h, doc, tid, (first - tops[of]).astype(np.int32), (last - first).astype(np.int32))], names=["h", "doc_id", "tid", "first", "n"]
+            )
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and end, the texts laid end to end with one character between them."""
+    blank = _BLANK[np.minimum(np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32), len(_BLANK) - 1)]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    return edges[::2], edges[1::2]
+
+
+def _cut(texts: list[str], ranges: pa.ListArray) -> list[pa.Array]:
+    """Number of units, of removed ones, the removed ones and what is left of each text, given the units to remove (first, n);
+    n below 0 stands for all units that spans of the text itself cover."""
+    cut = _ends(texts)
+    bounds, tops = cut[1], cut[-1]
+    n, of = tops[-1], np.repeat(np.arange(len(texts)), np.diff(tops))
+    first, many = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in ranges.flatten().flatten())
+    rows = np.repeat(np.arange(len(texts)), ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    first, last = first + tops[rows], first + tops[rows] + many
+    copies = np.zeros(len(texts), bool)
+    copies[rows[many < 0]] = True
+    first, last = first[many >= 0], last[many >= 0]
+    if copies.any():
+        of_all, to_all, _ = _spans(*cut)
+        mine = copies[of[of_all]]
+        first, last = np.r_[first, of_all[mine]], np.r_[last, to_all[mine]]
+    gone = np.flatnonzero(np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last, minlength=n + 1))[:n])
+    row = of[gone]
+    count = np.bincount(row, minlength=len(texts))
+    kept = list(texts)
+    if len(gone):
+        starts, ends = _words(texts)
+        shift = np.cumsum([0] + [len(t) + 1 for t in texts])[row]
+        lo, hi = (starts[bounds[gone]] - shift).tolist(), (ends[bounds[gone + 1] - 1] - shift).tolist()
+        k = 0
+        for i in np.flatnonzero(count).tolist():
+            text, at, pieces = texts[i], 0, []
+            for k in range(k, k + int(count[i])):
+                pieces.append(text[at : lo[k]])
+                at = hi[k]
+            k += 1
+            pieces.append(text[at:])
+            kept[i] = "".join(pieces)
+    removed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array((gone - tops[row]).astype(np.int32)))
+    return [pa.array(np.diff(tops)), pa.array(count), removed, pa.array(kept, pa.string())]
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -195,15 +237,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _finish(batches):
-    """Marks copies' units by their own spans, then cuts."""
+    """Cuts the texts of doc_id, tid, text, ranges, rep_id."""
     for batch in batches:
-        rep = batch.column(4)
-        ranges = []
-        for text, got in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            ranges.append([{"first": a, "n": n} for a, n, _ in spans(text)] if got and got[0]["n"] < 0 else got or [])
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
-        cut = next(_cut([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ranges, kind)], names=["a", "b", "c", "d"])]))
-        yield pa.RecordBatch.from_arrays([cut.column(0), rep, *(cut.column(i) for i in (2, 3, 4, 5))], names=["doc_id", "rep_id", "n_units", "n_removed", "removed", "kept_text"])
+        texts = batch.column(2).to_pylist()
+        for a, b in _groups(texts):
+            part = batch.slice(a, b - a)
+            out = [part.column(0), part.column(4), *_cut(texts[a:b], part.column(3))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "rep_id", "n_units", "n_removed", "removed", "kept_text"])
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
