@@ -4,6 +4,7 @@ the dialect of text with quotes, which the lexer scores."""
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..sources import delimited
 #: Candidate delimiters in order.
 DELIMITERS = (",", ";", "\t", "|")
 NAMES = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}
+#: Buckets that phrases are counted in by hash, and how many of the fullest have their phrases counted as text first.
+BUCKETS, FIRST = 1 << 18, 1 << 12
 
 
 def lines(text: Column) -> Column:
@@ -31,11 +34,32 @@ def line_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def top_phrases(docs: DataFrame, text: str = "text", words: int = 3, top: int = 10) -> DataFrame:
-    """The most frequent phrases of words consecutive words within a line, counted twice or more; ties in byte order."""
-    split = F.filter(F.split(F.col("line"), r"\s+"), lambda w: w != "")
-    windows = F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.array_join(F.slice("w", i, words), " ")))
-    phrases = docs.select(F.explode(lines(F.col(text))).alias("line")).select(split.alias("w")).select(F.explode(windows).alias("phrase"))
-    return phrases.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "phrase").limit(top)
+    """The most frequent phrases of words consecutive words within a line, counted twice or more; ties in byte order.
+
+    All phrases are first counted by hash, in BUCKETS buckets. No phrase occurs more often than its bucket, so once the
+    phrases of the FIRST fullest buckets give a count that the answer reaches, others of it lie only in buckets of that
+    count or more. Only phrases of these buckets are shuffled as text. Runs at once and reads docs twice, or a third time if
+    more than FIRST buckets reach that count."""
+    spark, names = docs.sparkSession, [f"w{i}" for i in range(words)]
+    split = F.array_remove(F.split(F.col("line"), r"\s+"), "")  # a CR before LF goes with the white space
+    many = F.greatest(F.size("w") - (words - 1), F.lit(0))
+    windows = F.arrays_zip(*(F.slice("w", i + 1, many).alias(name) for i, name in enumerate(names)))
+    phrases = docs.select(F.explode(F.split(text, "\n")).alias("line")).select(split.alias("w")).select(F.explode(windows).alias("p")).select("p.*")
+    phrases = phrases.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(BUCKETS)))
+
+    def first(counted: DataFrame) -> DataFrame:
+        return counted.orderBy(F.desc("n"), "phrase").limit(top)
+
+    def among(buckets: pa.Table) -> DataFrame:
+        kept = phrases.join(F.broadcast(spark.createDataFrame(buckets.select(["bucket"]))), "bucket", "left_semi")
+        return kept.groupBy(F.concat_ws(" ", *names).alias("phrase")).agg(F.count("*").alias("n")).filter("n > 1")
+
+    loads = phrases.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").toArrow().sort_by([("n", "descending")])  # BUCKETS rows at most
+    found = first(among(loads.slice(0, FIRST))).toArrow()
+    least = found["n"][-1].as_py() if found.num_rows == top > 0 else 2
+    others = loads.slice(FIRST).filter(pc.field("n") >= least)
+    found = spark.createDataFrame(found)
+    return first(found.unionByName(among(others)) if others.num_rows else found)
 
 
 def legacy_delimiter(text: Column) -> Column:
